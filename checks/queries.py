@@ -298,9 +298,27 @@ def receiver_stratified_sample(src):
     return sampling.stratified(classed, sampling.fractions(sampling.class_sizes(classed)))
 
 
+def _window(src):
+    """Featured invoices of the last three months, as handed to sampling."""
+
+    def build():
+        featured = documents.featured(recent_invoices(src, months=3))
+        return stage(featured.drop(v.SIGNED, v.EMITTED), "window")
+
+    return handed_over(src, "window", build)
+
+
+def _sample(src):
+    def build():
+        classed = stage(sampling.with_both_classes(_window(src), profile(src)), "classed")
+        return stage(sampling.balanced_of(classed), "sample")
+
+    return handed_over(src, "sample", build)
+
+
 @query
 def balanced_sample(src):
-    return sampling.balanced(recent_invoices(src, months=3), profile(src))
+    return steadied(_sample(src), STATS)
 
 
 @query
@@ -313,13 +331,7 @@ def test_rows_of_split(src):
 
 @query
 def enriched_sample(src):
-    def build():
-        window = documents.featured(recent_invoices(src, months=3))
-        return stage(window.drop(v.SIGNED, v.EMITTED), "window")
-
-    window = handed_over(src, "window", build)
-    sample = sampling.balanced(window, profile(src))
-    return steadied(enrich.enriched_sample(sample, profile(src)), STATS)
+    return steadied(enrich.enriched_sample(_sample(src), profile(src)), STATS)
 
 
 @query
@@ -682,7 +694,7 @@ def label_leaf_distribution(src):
 WINDOW = tuple(f"2024-01-{day} 00:00:00" for day in ("03", "17"))
 
 
-def _window() -> tuple[Column, Column]:
+def _tracked_window() -> tuple[Column, Column]:
     return tuple(F.lit(text).cast("timestamp_ntz") for text in WINDOW)
 
 
@@ -692,7 +704,7 @@ def _tracked(src):
 
 @query
 def predictions_in_window(src):
-    return monitor.read(_tracked(src), *_window())
+    return monitor.read(_tracked(src), *_tracked_window())
 
 
 @query
@@ -702,14 +714,14 @@ def predictions_with_truth(src):
 
 @query
 def mean_absolute_error(src):
-    tracked = monitor.with_truth(monitor.read(_tracked(src), *_window()), src["truth"])
+    tracked = monitor.with_truth(monitor.read(_tracked(src), *_tracked_window()), src["truth"])
     return steadied(monitor.mean_absolute_error(tracked), ["mean_absolute_error"], 6)
 
 
 @query
 def recorded_metrics(src):
     """The error of the window, appended to the metrics table and read back."""
-    start, end = _window()
+    start, end = _tracked_window()
     tracked = monitor.with_truth(monitor.read(_tracked(src), start, end), src["truth"])
     path = f"{staging(src)}/metrics"
     value = monitor.mean_absolute_error(tracked)
