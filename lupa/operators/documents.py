@@ -11,17 +11,25 @@ from .keys import spread_left_join
 
 
 def recent(
-    documents: DataFrame, months: int | None = None, days: int | None = None, date: str = v.EMITTED
+    documents: DataFrame, months: int | None = None, days: int | None = None, date: str = v.EMITTED,
+    month_partition: str | None = None,
 ) -> DataFrame:
     """Documents dated within the last months or days before the newest one, bound included.
 
     The bound is a scalar subquery, so the plan stays lazy and the comparison reaches the scan.
+    When the table is partitioned by month of ``date`` as ``yyyy-MM`` text, name that column: the
+    newest date is then looked up in the last month only, and older months are not read.
     """
     if (months is None) == (days is None):
         raise ValueError("give either months or days")
     newest = F.max(date)
     bound = F.add_months(newest, -months) if months is not None else F.date_sub(newest, days)
-    return documents.where(F.col(date) >= documents.agg(bound).scalar())
+    if month_partition is None:
+        return documents.where(F.col(date) >= documents.agg(bound).scalar())
+    month = F.col(month_partition)
+    last = documents.where(month == documents.agg(F.max(month)).scalar())
+    first_month = last.agg(F.date_format(bound, "yyyy-MM")).scalar()
+    return documents.where((month >= first_month) & (F.col(date) >= last.agg(bound).scalar()))
 
 
 def party_statistics(documents: DataFrame, role: str) -> DataFrame:

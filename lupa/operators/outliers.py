@@ -18,12 +18,15 @@ def _known_segments(documents: DataFrame) -> DataFrame:
 
 
 def segment_p90(documents: DataFrame, value: str = v.AMOUNT) -> DataFrame:
-    """90th percentile of the amount per issuer segment and the number of rows strictly above it."""
+    """90th percentile of the amount per issuer segment and the number of rows strictly above it.
+
+    Only the five known segments have a limit, which bounds the broadcast.
+    """
     counts = value_counts_of(_known_segments(documents), value, [ISSUER_SEGMENT])
     limit = quantiles_of_counts(counts, {"percentil_90": 0.9}, [ISSUER_SEGMENT])
     above = F.sum(F.when(F.col("v") > F.col("percentil_90"), F.col("n")).otherwise(0))
     return (
-        counts.join(limit, ISSUER_SEGMENT)
+        counts.join(F.broadcast(limit), ISSUER_SEGMENT)
         .groupBy(ISSUER_SEGMENT, "percentil_90")
         .agg(above.cast("long").alias("n_outliers"))
     )
