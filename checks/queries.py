@@ -579,8 +579,7 @@ def assembled_features(src):
 def _forest(src):
     def build():
         encoded, encoder = _encoded(src)
-        slots = {f"{col}_index": len(labels) - 1 for col, labels in encoder.labels.items()}
-        features = iforest.features([*v.NUMERIC, *v.PASS_THROUGH], slots)
+        features = iforest.features([*v.NUMERIC, *v.PASS_THROUGH], encoder.slots)
         key = ["dhdr_folio", f"{v.ISSUER}{v.RUT}", f"{v.RECEIVER}{v.RUT}"]
         return iforest.fit(encoded, features, key)
 
@@ -588,10 +587,13 @@ def _forest(src):
 
 
 def _flagged(src):
+    """Imputed invoices with score and outlier label."""
+
     def build():
         encoded, _ = _encoded(src)
-        scored = stage(iforest.score(encoded, _forest(src)), "scored")
-        return stage(iforest.flag(scored), "flagged")
+        scored = iforest.score(encoded, _forest(src)).select(*enriched(src).columns, "score")
+        scored = stage(scored, "scored")
+        return iforest.flag(scored, iforest.threshold(scored))
 
     return handed_over(src, "flagged", build)
 
@@ -617,7 +619,7 @@ def _surrogate(src):
 
     def build():
         _, encoder = _encoded(src)
-        rows = prep.assemble(_flagged(src), encoder)
+        rows = prep.assemble(encoder.transform(_flagged(src)), encoder)
         key = ["dhdr_folio", f"{v.ISSUER}{v.RUT}", f"{v.RECEIVER}{v.RUT}", v.AMOUNT]
         train, test = sampling.split(rows, key=key)
         model = surrogate.fit(train, prep.feature_names(encoder))

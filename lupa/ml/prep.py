@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -45,20 +45,27 @@ def levels(df: DataFrame, columns: Sequence[str] = v.TEXT) -> DataFrame:
 
 @dataclass
 class Encoder:
-    """Fitted one-hot encoding; the alphabetically first level of each column has no slot."""
+    """Fitted one-hot encoding; the alphabetically first level of each column has no slot.
 
-    columns: tuple[str, ...]
+    A column with a single level therefore has none at all and is left out.
+    """
+
+    labels: dict[str, list[str]]
     model: PipelineModel
 
     @property
-    def labels(self) -> dict[str, list[str]]:
-        """Levels per column in slot order, the dropped one last."""
-        return dict(zip(self.columns, (list(a) for a in self.model.stages[0].labelsArray)))
+    def columns(self) -> list[str]:
+        return list(self.labels)
 
     @property
     def names(self) -> list[str]:
         return [f"{col}_{level}" for col, levels in self.labels.items() for level in levels[:-1]]
 
+    @property
+    def slots(self) -> dict[str, int]:
+        """Slots per ``<column>_index``."""
+        return {f"{col}_index": len(levels) - 1 for col, levels in self.labels.items()}
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``<column>_index`` and ``<column>_onehot``; levels not seen in fitting become all 0."""
         seen = {
@@ -69,16 +76,22 @@ class Encoder:
 
 
 def fit_encoder(df: DataFrame, columns: Sequence[str] = v.TEXT) -> Encoder:
-    columns = tuple(columns)
-    seen = df.select(*(F.col(col).alias(f"{col}_seen") for col in columns))
-    index = StringIndexer(
-        inputCols=[f"{col}_seen" for col in columns], outputCols=[f"{col}_index" for col in columns],
+    found = StringIndexer(
+        inputCols=list(columns), outputCols=[f"{col}_index" for col in columns],
         stringOrderType="alphabetDesc",
-    ).fit(seen)
+    ).fit(df.select(*columns))
+    labels = {col: list(a) for col, a in zip(columns, found.labelsArray) if len(a) > 1}
+    indexers = PipelineModel([
+        StringIndexerModel.from_labels(levels, inputCol=f"{col}_seen", outputCol=f"{col}_index")
+        for col, levels in labels.items()
+    ])
     onehot = OneHotEncoder(
-        inputCols=index.getOutputCols(), outputCols=[f"{col}_onehot" for col in columns], dropLast=True,
-    ).fit(index.transform(seen))
-    return Encoder(columns, PipelineModel([index, onehot]))
+        inputCols=[f"{col}_index" for col in labels], outputCols=[f"{col}_onehot" for col in labels],
+        dropLast=True,
+    )
+    # the index columns carry their number of levels, so no row is read here
+    sized = indexers.transform(df.select(*(F.col(col).alias(f"{col}_seen") for col in labels)).limit(0))
+    return Encoder(labels, PipelineModel([indexers, onehot.fit(sized)]))
 
 
 def level_totals(encoded: DataFrame, encoder: Encoder) -> DataFrame:

@@ -140,13 +140,11 @@ def model_job(store: Store, run_id: str, contamination: float = 0.1, seed: int =
     docs = session.stage(prep.imputed(store.read(ENRICHED_SAMPLE)), "imputed")
     encoder = prep.fit_encoder(docs)
     encoded = encoder.transform(docs)
-    slots = {f"{col}_index": len(labels) - 1 for col, labels in encoder.labels.items()}
     key = [v.AMOUNT, "dhdr_folio"]
-    forest = iforest.fit(encoded, iforest.features([*v.NUMERIC, *v.PASS_THROUGH], slots), key, seed=seed)
-    scored = session.stage(iforest.score(encoded, forest), "scored")
-    flagged = store.write(
-        iforest.flag(scored, contamination).select(*docs.columns, "score", "outliers"), "modelo/anomalias"
-    )
+    forest = iforest.fit(encoded, iforest.features([*v.NUMERIC, *v.PASS_THROUGH], encoder.slots), key, seed=seed)
+    scored = session.stage(iforest.score(encoded, forest).select(*docs.columns, "score"), "scored")
+    limit = iforest.threshold(scored, contamination)
+    flagged = store.write(iforest.flag(scored, limit), "modelo/anomalias")
     store.write(forest.nodes, "modelo/nodos")
     rows = prep.assemble(encoder.transform(flagged), encoder)
     train, test = sampling.split(rows, seed=seed, key=["dhdr_folio", v.AMOUNT])
