@@ -8,6 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from checks.fixtures import STORED, Source
 from checks.queries import registered
 
 # Jobs that write hand-off datasets come before the queries that read them.
@@ -28,8 +29,12 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", str(2 * int(cpus))).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     run, spent = registered(), {}
+    started = time.time()
+    source = Source(spark, sf_dir)
+    for table in STORED:
+        source[table].count()
+    spent["derive_warehouse_tables"] = round(time.time() - started, 3)
     for name in HEADLINE:
         started = time.time()
         run[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -20,7 +20,7 @@ from lupa.operators import quantiles as qt
 from lupa.session import configure, stage
 from lupa.sources import tables
 
-from .fixtures import Source
+from .fixtures import Source, handed_over
 
 QUERIES: dict[str, Callable[[Source], DataFrame]] = {}
 
@@ -59,16 +59,6 @@ def steadied(df: DataFrame, names, digits: int = 2) -> DataFrame:
 
 
 STATS = (*v.stat_columns(v.ISSUER), *v.stat_columns(v.RECEIVER))
-_handed_over: dict[tuple, object] = {}
-
-
-def handed_over(src: Source, name: str, build: Callable[[], object]):
-    key = (src.spark.sparkContext.applicationId, src.directory, name)
-    if key not in _handed_over:
-        _handed_over[key] = build()
-    return _handed_over[key]
-
-
 def invoices(src: Source) -> DataFrame:
     return tables.invoices(src["documents"])
 
@@ -622,7 +612,7 @@ def _surrogate(src):
         rows = prep.assemble(encoder.transform(_flagged(src)), encoder)
         key = ["dhdr_folio", f"{v.ISSUER}{v.RUT}", f"{v.RECEIVER}{v.RUT}", v.AMOUNT]
         train, test = sampling.split(rows, key=key)
-        model = surrogate.fit(train, prep.feature_names(encoder))
+        model = surrogate.fit(train, prep.feature_names(encoder), arrange_by=[*key, "score"])
         weighted = surrogate.predict(surrogate.with_weights(train), model)
         return model, weighted, stage(surrogate.predict(test, model).drop("features"), "predicted")
 

@@ -23,16 +23,18 @@ def latest_with_ties(
 ) -> DataFrame:
     """Rows whose ``order`` is the largest of their key; ties stay, null orders and keys go.
 
-    A partial maximum per key is joined back. Unlike a rank window, no task ever holds all rows of
-    a key: the join is on (key, order) and adaptive execution can split it. With ``match``, a part
-    of the key, a row stays when it equals the maximum of any key that shares those columns.
+    A partial maximum per key is joined back on (key, order). Unlike a rank window, no task ever
+    holds all rows of a key, however many of them tie. With ``match``, a part of the key, a row
+    stays when it equals the maximum of any key that shares those columns.
     """
     ordered = df.withColumn("_order", order).where(F.col("_order").isNotNull())
     best = ordered.groupBy(*key).agg(F.max("_order").alias("_order"))
     on = [*(match or key), "_order"]
     if match:
         best = best.select(*on).distinct()
-    return ordered.join(best, on, "left_semi").select(*df.columns)
+    pairs = [(name, f"_best{i}") for i, name in enumerate(on)]
+    best = best.select(*(F.col(name).alias(new) for name, new in pairs))
+    return spread_left_join(ordered, best, pairs, how="left_semi").select(*df.columns)
 
 
 def latest_one(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -46,54 +48,100 @@ def latest_one(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> Da
 
 
 def unique_keys(df: DataFrame, key: str) -> DataFrame:
-    """Rows whose key value occurs exactly once; null keys go."""
-    once = df.where(F.col(key).isNotNull()).groupBy(key).count().where("count = 1").select(key)
-    return df.join(once, key, "left_semi")
+    """Rows whose key value occurs exactly once; null keys go.
+
+    Rows of hot keys cannot be unique and are dropped before anything is shuffled.
+    """
+    known = df.where(F.col(key).isNotNull())
+    hot = hot_keys(known, [key], least=2)
+    once = known.groupBy(key).count().where("count = 1").select(key)
+    return known.join(F.broadcast(hot), key, "left_anti").join(once, key, "left_semi")
 
 
 def spread_left_join(
     left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], splits: int = HOT_SPLITS,
-    counted: DataFrame | None = None,
+    counted: DataFrame | None = None, how: str = "left",
 ) -> DataFrame:
-    """``left`` outer-joined to ``right`` on equal columns, with hot left keys spread over tasks.
+    """``left`` outer- or semi-joined to ``right``, with hot left keys spread over tasks.
 
     ``right`` should hold few rows per key. Rows of a hot key get one of ``splits`` sub-keys and
     the matching right rows are repeated once per sub-key; all other keys have a single sub-key.
-    Rows with a null key match nothing and are spread as well. The list of hot keys is short by
-    construction (see ``HOT_SHARE``), which is what makes broadcasting it safe. The sub-key is
-    taken from the row's content and its input partition, never from a random number, so a task
-    that is run again produces the same rows, and exact copies do not stay together.
+    Rows with a null key match nothing and are spread as well.
 
     ``counted`` is where keys are counted: the documents before earlier joins, so that a chain of
     joins does not repeat itself inside every count.
     """
-    lkeys = [l for l, _ in on]
-    names = [f"_hot{i}" for i in range(len(on))]
-    hot = hot_keys(left if counted is None else counted, lkeys).toDF(*names).withColumn(
-        "_is_hot", F.lit(True)
+    lkeys, rkeys = [l for l, _ in on], [r for _, r in on]
+    hot = _marked_hot(left if counted is None else counted, lkeys, splits)
+    any_null = reduce(Column.__or__, (F.col(k).isNull() for k in lkeys))
+    spread = _with_hot(left, hot, lkeys).select(
+        *left.columns,
+        F.when(F.col("_is_hot") | any_null, _sub_key(left, splits)).otherwise(0).alias("_sub"),
     )
+    repeated = _with_hot(right, hot, rkeys).select(
+        *right.columns, F.explode(_sub_keys(splits)).alias("_rsub")
+    )
+    condition = reduce(
+        Column.__and__, (F.col(l) == F.col(r) for l, r in on), F.col("_sub") == F.col("_rsub")
+    )
+    return spread.join(repeated, condition, how).drop("_sub", "_rsub")
 
-    def matches(keys):
-        return reduce(Column.__and__, (F.col(k) == F.col(n) for k, n in zip(keys, names)))
 
-    sub_key = F.pmod(F.xxhash64(*left.columns) + F.spark_partition_id(), F.lit(splits)).cast("int")
-    any_null = reduce(Column.__or__, (F.col(k).isNull() for k in lkeys))
-    spread = left.join(F.broadcast(hot), matches(lkeys), "left").select(
-        *left.columns, F.when(F.col("_is_hot") | any_null, sub_key).otherwise(0).alias("_sub")
+def spread_right_join(
+    left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], splits: int = HOT_SPLITS
+) -> DataFrame:
+    """``left`` outer-joined to ``right`` where a key may have very many rows on the right.
+
+    Here the right rows of a hot key get sub-keys and the left rows are repeated. A hot key does
+    have right rows, so its left rows always match somewhere and the repeats that find nothing are
+    dropped. Hot left keys are left to adaptive execution, which may split the left side.
+    """
+    lkeys, rkeys = [l for l, _ in on], [r for _, r in on]
+    hot = _marked_hot(right, rkeys, splits)
+    repeated = _with_hot(left, hot, lkeys).select(
+        *left.columns, "_is_hot", F.explode(_sub_keys(splits)).alias("_sub")
     )
-    every = F.sequence(F.lit(0), F.lit(splits - 1))
-    repeats = F.when(F.col("_is_hot"), every).otherwise(F.array(F.lit(0)))
-    repeated = right.join(F.broadcast(hot), matches([r for _, r in on]), "left").select(
-        *right.columns, F.explode(repeats).alias("_rsub")
+    spread = _with_hot(right, hot, rkeys).select(
+        *right.columns, F.when(F.col("_is_hot"), _sub_key(right, splits)).otherwise(0).alias("_rsub")
+    )
+    condition = reduce(
+        Column.__and__, (F.col(l) == F.col(r) for l, r in on), F.col("_sub") == F.col("_rsub")
     )
-    condition = F.col("_sub") == F.col("_rsub")
-    for l, r in on:
-        condition = condition & (F.col(l) == F.col(r))
-    return spread.join(repeated, condition, "left").drop("_sub", "_rsub")
+    found = F.col("_is_hot").isNull() | F.col("_rsub").isNotNull()
+    return repeated.join(spread, condition, "left").where(found).drop("_is_hot", "_sub", "_rsub")
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, least: int = 1
+) -> DataFrame:
     """Key values that hold more than ``share`` of the rows: fewer than ``1 / share`` of them."""
     counts = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).groupBy(*keys).count()
     total = counts.agg(F.sum("count")).scalar()
-    return counts.where(F.col("count") > total * share).select(*keys)
+    hot = counts.where(F.col("count") > total * share)
+    return (hot.where(F.col("count") >= least) if least > 1 else hot).select(*keys)
+
+
+def _marked_hot(df: DataFrame, keys: Sequence[str], splits: int) -> DataFrame:
+    """Hot keys under neutral names. The list is short by construction, see ``HOT_SHARE``."""
+    hot = hot_keys(df, keys, least=splits)
+    return hot.toDF(*(f"_hot{i}" for i in range(len(keys)))).withColumn("_is_hot", F.lit(True))
+
+
+def _with_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with ``_is_hot``, true or null, from the short list of hot keys."""
+    same = reduce(Column.__and__, (F.col(k) == F.col(f"_hot{i}") for i, k in enumerate(keys)))
+    return df.join(F.broadcast(hot), same, "left")
+
+
+def _sub_key(df: DataFrame, splits: int) -> Column:
+    """A sub-key from the row's content and its input partition.
+
+    Never from a random number: a task that is run again must produce the same rows. The partition
+    keeps exact copies from staying together.
+    """
+    return F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.lit(splits)).cast("int")
+
+
+def _sub_keys(splits: int) -> Column:
+    every = F.sequence(F.lit(0), F.lit(splits - 1))
+    return F.when(F.col("_is_hot"), every).otherwise(F.array(F.lit(0)))

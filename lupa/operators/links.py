@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as v
 from ..functions import columns as c
+from .keys import spread_left_join, spread_right_join
 
 LINKED = tuple(name for name in v.DOCUMENT_COLUMNS if name != v.SIGNED)
 CESSION_ON = (
@@ -19,16 +20,9 @@ LEDGER_ON = (
 )
 
 
-def _on(pairs):
-    condition = F.lit(True)
-    for left, right in pairs:
-        condition = condition & (F.col(left) == F.col(right))
-    return condition
-
-
 def cession_link(documents: DataFrame, cession_documents: DataFrame) -> DataFrame:
     """Each document with every cession document of it, and whether there is one."""
-    joined = documents.select(*LINKED).join(cession_documents, _on(CESSION_ON), "left")
+    joined = spread_right_join(documents.select(*LINKED), cession_documents, CESSION_ON)
     return joined.withColumn("cedido", c.match_flag(F.col("rdoc_folio")))
 
 
@@ -43,22 +37,21 @@ def times_ceded(documents: DataFrame, cession_documents: DataFrame) -> DataFrame
         F.count("*").alias("_times")
     )
     times = F.col("_copies") * F.coalesce(F.col("_times"), F.lit(0))
-    return copies.join(ceded, _on(CESSION_ON), "left").select(*LINKED, times.alias("veces_cedido"))
+    joined = spread_left_join(copies, ceded, CESSION_ON)
+    return joined.select(*LINKED, times.alias("veces_cedido"))
 
 
 def cession_detail(linked: DataFrame, cessions: DataFrame) -> DataFrame:
     """Folio, issuer and receiver once per cession of each linked document."""
     right = cessions.select(F.col("rdoc_codigo").alias("_codigo"))
-    return linked.join(right, F.col("rdoc_codigo") == F.col("_codigo"), "left").select(
-        "dhdr_folio", "dhdr_rut_emisor", "dhdr_rut_recep"
-    )
+    joined = spread_right_join(linked, right, [("rdoc_codigo", "_codigo")])
+    return joined.select("dhdr_folio", "dhdr_rut_emisor", "dhdr_rut_recep")
 
 
 def ledger_match(documents: DataFrame, ledger: DataFrame) -> DataFrame:
     """Each document with every ledger line about it, and whether there is one."""
     keys = [right for _, right in LEDGER_ON]
-    return (
-        documents.select(*LINKED)
-        .join(ledger.select(*keys, *v.LEDGER_COLUMNS), _on(LEDGER_ON), "left")
-        .select(*LINKED, *v.LEDGER_COLUMNS, c.match_flag(F.col("det_folio_doc_ref")).alias("cruce_rcv"))
-    )
+    lines = ledger.select(*keys, *v.LEDGER_COLUMNS)
+    joined = spread_right_join(documents.select(*LINKED), lines, LEDGER_ON)
+    matched = c.match_flag(F.col("det_folio_doc_ref")).alias("cruce_rcv")
+    return joined.select(*LINKED, *v.LEDGER_COLUMNS, matched)

@@ -87,7 +87,7 @@ def segment_per_taxpayer(
         v.RUT, "INICIO_SEGMENTO", c.company_label(F.col("INICIO_SEGMENTO")).alias("ES_EMPRESA"),
         c.person_flag(F.col("INICIO_SEGMENTO")).alias("ES_PERSONA"),
     )
-    return taxpayers.select(*KEY).join(labelled, v.RUT)
+    return taxpayers.select(*KEY).distinct().join(labelled, v.RUT)
 
 
 # -- alerts ------------------------------------------------------------------
@@ -182,15 +182,15 @@ def principal_activity(
 ) -> DataFrame:
     """Texts of the declared main activity, when the taxpayer is registered for it.
 
-    Links only confirm a declaration, so they are a semi join, and declarations are made distinct
-    before anything is joined.
+    Links only confirm a declaration, so they are a semi join. Both sides are made distinct on the
+    join columns first, which costs no further shuffle and leaves no hot key.
     """
     declared = (
         behaviour.where(F.col("PERI_AGNO_TRIBUTARIO_RENTA") == period)
         .select(*KEY, F.col("ACEC_COD_ACTECO_PRINCIPAL").alias("ACTECO_COD_ACTECO"))
         .distinct()
     )
-    valid = links.where(F.col("ACTECO_VIGENCIA") == "S").select(*KEY, "ACTECO_COD_ACTECO")
+    valid = links.where(F.col("ACTECO_VIGENCIA") == "S").select(*KEY, "ACTECO_COD_ACTECO").distinct()
     described = activities.select(
         F.col("ACEC_COD_ACTECO").alias("ACTECO_COD_ACTECO"),
         F.col("ACEC_DES_ACTECO").alias("ACEC_DES_ACTECO_PPAL"),

@@ -140,15 +140,15 @@ def model_job(store: Store, run_id: str, contamination: float = 0.1, seed: int =
     docs = session.stage(prep.imputed(store.read(ENRICHED_SAMPLE)), "imputed")
     encoder = prep.fit_encoder(docs)
     encoded = encoder.transform(docs)
-    key = [v.AMOUNT, "dhdr_folio"]
+    key = ["dhdr_folio", v.AMOUNT]
     forest = iforest.fit(encoded, iforest.features([*v.NUMERIC, *v.PASS_THROUGH], encoder.slots), key, seed=seed)
     scored = session.stage(iforest.score(encoded, forest).select(*docs.columns, "score"), "scored")
     limit = iforest.threshold(scored, contamination)
     flagged = store.write(iforest.flag(scored, limit), "modelo/anomalias")
     store.write(forest.nodes, "modelo/nodos")
     rows = prep.assemble(encoder.transform(flagged), encoder)
-    train, test = sampling.split(rows, seed=seed, key=["dhdr_folio", v.AMOUNT])
-    tree = surrogate.fit(train, prep.feature_names(encoder), seed=seed)
+    train, test = sampling.split(rows, seed=seed, key=key)
+    tree = surrogate.fit(train, prep.feature_names(encoder), seed=seed, arrange_by=[*key, "score"])
     predicted = surrogate.predict(test, tree).select(
         "dhdr_folio", v.AMOUNT, "outliers", "predicted", "outlier_probability", "leaf"
     )

@@ -58,6 +58,27 @@ def test_spread_left_join_equals_plain_join(spark, rows):
     assert rows(keys.spread_left_join(left, right, [("k", "rk")])) == rows(plain)
 
 
+def test_spread_right_join_equals_plain_join(spark, rows):
+    right = skewed(spark).select(F.col("k").alias("rk"), F.col("x").alias("y"))
+    left = spark.createDataFrame([("hot", 1), ("hot", 1), ("k11", 2), ("none", 3), (None, 4)], "k string, z int")
+    plain = left.join(right, F.col("k") == F.col("rk"), "left")
+    got = keys.spread_right_join(left, right, [("k", "rk")])
+    assert rows(got) == rows(plain) and got.count() > 6000
+
+
+def test_semi_join_on_tied_hot_key(spark, rows):
+    df = skewed(spark).repartition(5)
+    got = keys.latest_with_ties(df, ["k"], F.col("x"))
+    top = df.groupBy("k").agg(F.max("x").alias("m"))
+    plain = df.join(top, "k").where("x = m").select("k", "x")
+    assert rows(got) == rows(plain)
+
+
+def test_unique_keys_on_small_and_skewed_data(spark, rows):
+    df = skewed(spark).unionByName(spark.createDataFrame([("single", 7)], "k string, x long"))
+    assert rows(keys.unique_keys(df, "k")) == [("single", 7)]
+
+
 def test_hot_key_is_spread_over_tasks(spark):
     left = skewed(spark).repartition(8)
     right = spark.createDataFrame([("hot", 1)], "rk string, n int")

@@ -70,6 +70,13 @@ def test_no_python_and_no_cartesian_product_outside_the_model(spark, source):
             assert banned not in text, f"{banned} in {name}"
 
 
+def test_one_row_per_key_is_cut_before_the_shuffle(source):
+    from lupa.operators import taxpayers
+
+    text = plan(taxpayers.latest_behaviour(source["behaviour"]))
+    assert text.count("WindowGroupLimit") == 2
+
+
 def test_conform_checks_columns(spark):
     df = spark.createDataFrame([("1", 2)], "cont_rut string, extra int")
     with pytest.raises(ValueError, match="CONT_DV"):
