@@ -37,7 +37,7 @@ def times_ceded(documents: DataFrame, cession_documents: DataFrame) -> DataFrame
         F.count("*").alias("_times")
     )
     times = F.col("_copies") * F.coalesce(F.col("_times"), F.lit(0))
-    joined = spread_left_join(copies, ceded, CESSION_ON)
+    joined = spread_left_join(copies, ceded, CESSION_ON, counted=documents)
     return joined.select(*LINKED, times.alias("veces_cedido"))
 
 
