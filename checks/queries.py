@@ -7,6 +7,7 @@ per session and directory and then read by the queries that profile or model the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,7 @@ from lupa import vocab as v
 from lupa.ml import evaluate, iforest, prep, surrogate
 from lupa.operators import documents, enrich, links, outliers, profiling, quality, sampling, taxpayers
 from lupa.operators import quantiles as qt
-from lupa.session import configure, stage
+from lupa.session import application_dir, configure, stage
 from lupa.sources import tables
 
 from .fixtures import Source, handed_over
@@ -58,6 +59,7 @@ def steadied(df: DataFrame, names, digits: int = 2) -> DataFrame:
     return df.withColumns({name: steady(name, digits) for name in names})
 
 
+MODEL_KEY = ("dhdr_folio", f"{v.ISSUER}{v.RUT}", f"{v.RECEIVER}{v.RUT}", v.AMOUNT)
 STATS = (*v.stat_columns(v.ISSUER), *v.stat_columns(v.RECEIVER))
 def invoices(src: Source) -> DataFrame:
     return tables.invoices(src["documents"])
@@ -114,11 +116,7 @@ def parquet_hand_over(src):
 
 
 def staging(src: Source) -> str:
-    import uuid
-
-    from lupa.session import staging_dir
-
-    return f"{staging_dir(src.spark).rstrip('/')}/lupa/{uuid.uuid4().hex}"
+    return f"{application_dir(src.spark)}/{uuid.uuid4().hex}"
 
 
 # -- taxpayers ---------------------------------------------------------------
@@ -570,8 +568,7 @@ def _forest(src):
     def build():
         encoded, encoder = _encoded(src)
         features = iforest.features([*v.NUMERIC, *v.PASS_THROUGH], encoder.slots)
-        key = ["dhdr_folio", f"{v.ISSUER}{v.RUT}", f"{v.RECEIVER}{v.RUT}"]
-        return iforest.fit(encoded, features, key)
+        return iforest.fit(encoded, features, MODEL_KEY)
 
     return handed_over(src, "forest", build)
 
@@ -610,9 +607,8 @@ def _surrogate(src):
     def build():
         _, encoder = _encoded(src)
         rows = prep.assemble(encoder.transform(_flagged(src)), encoder)
-        key = ["dhdr_folio", f"{v.ISSUER}{v.RUT}", f"{v.RECEIVER}{v.RUT}", v.AMOUNT]
-        train, test = sampling.split(rows, key=key)
-        model = surrogate.fit(train, prep.feature_names(encoder), arrange_by=[*key, "score"])
+        train, test = sampling.split(rows, key=MODEL_KEY)
+        model = surrogate.fit(train, prep.feature_names(encoder), arrange_by=[*MODEL_KEY, "score"])
         weighted = surrogate.predict(surrogate.with_weights(train), model)
         return model, weighted, stage(surrogate.predict(test, model).drop("features"), "predicted")
 
@@ -724,5 +720,5 @@ def recorded_metrics(src):
 @query
 def tracked_scores(src):
     scored = _flagged(src)
-    key = ["dhdr_folio", f"{v.ISSUER}{v.RUT}", f"{v.RECEIVER}{v.RUT}", v.AMOUNT]
-    return monitor.predict(scored, "first-run", F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"), key)
+    made_at = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    return monitor.predict(scored, "first-run", made_at, MODEL_KEY)

@@ -74,7 +74,13 @@ def hour_band(hour: Column) -> Column:
     )
 
 
-def time_features(signed: Column) -> dict[str, Column]:
+def week_of_month(date: Column, whole: bool = False) -> Column:
+    """Weeks since the first of the month plus one, with the days as a fraction unless ``whole``."""
+    week = (F.dayofmonth(date) - 1) / 7 + 1
+    return F.floor(week) if whole else week
+
+
+def time_features(signed: Column, whole_weeks: bool = False) -> dict[str, Column]:
     """The eight time columns of a document. A missing time gives weekend 0 and band ``Noche``."""
     return {
         "anio": F.year(signed),
@@ -84,7 +90,7 @@ def time_features(signed: Column) -> dict[str, Column]:
         "es_fin_de_semana": F.when(F.dayofweek(signed).isin(1, 7), 1).otherwise(0),
         "bloque_horario": hour_band(F.hour(signed)),
         "dia_semana": F.dayofweek(signed),
-        "semana_mes": (F.dayofmonth(signed) - 1) / 7 + 1,
+        "semana_mes": week_of_month(signed, whole_weeks),
     }
 
 

@@ -32,9 +32,16 @@ def with_class(
     )
 
 
-def class_sizes(classed: DataFrame, count_key: str = "dhdr_rut_emisor", name: str = CLASS) -> DataFrame:
-    """Distinct parties per class. Issuers are counted for receiver classes as well by default."""
-    return classed.groupBy(name).agg(F.countDistinct(count_key).alias("num_cont_rut_unicos"))
+def class_sizes(
+    classed: DataFrame, count_key: str | None = "dhdr_rut_emisor", name: str = CLASS
+) -> DataFrame:
+    """Distinct parties per class, or rows per class when ``count_key`` is None.
+
+    Issuers are counted for receiver classes as well by default. Fractions from parties do not
+    balance the number of rows; fractions from rows do.
+    """
+    size = F.count("*") if count_key is None else F.countDistinct(count_key)
+    return classed.groupBy(name).agg(size.alias("num_cont_rut_unicos"))
 
 
 def fractions(sizes: DataFrame, name: str = CLASS) -> DataFrame:
@@ -88,7 +95,8 @@ def with_both_classes(documents: DataFrame, profile: DataFrame) -> DataFrame:
 
 
 def balanced_of(
-    classed: DataFrame, seed: int = 42, key: Sequence[str] = v.DOCUMENT_KEY
+    classed: DataFrame, seed: int = 42, key: Sequence[str] = v.DOCUMENT_KEY,
+    count_key: str | None = "dhdr_rut_emisor",
 ) -> DataFrame:
     """Balanced sample over issuer classes and receiver classes, equalised and merged.
 
@@ -98,7 +106,7 @@ def balanced_of(
     columns = [name for name in classed.columns if name not in ROLE_CLASS.values()]
     marked = classed
     for role, name in ROLE_CLASS.items():
-        shares = fractions(class_sizes(classed, name=name), name)
+        shares = fractions(class_sizes(classed, count_key, name), name)
         drawn = c.hash01(key, seed) < F.col("fraccion")
         marked = marked.join(F.broadcast(shares), name).withColumn(f"_in_{role}", drawn).drop("fraccion")
     inside = {role: F.col(f"_in_{role}") for role in ROLE_CLASS}

@@ -239,7 +239,7 @@ def unambiguous(profile: DataFrame) -> DataFrame:
 
 def build_profile(
     segment: DataFrame, alerts: DataFrame, business: DataFrame, behaviour: DataFrame,
-    activity: DataFrame,
+    activity: DataFrame, ambiguous: str = "discard",
 ) -> DataFrame:
     """``unambiguous(merge_profile(...))`` without building the rows that would be thrown away.
 
@@ -247,7 +247,12 @@ def build_profile(
     unambiguous when it has one check digit and at most one distinct row in each source, which is
     when smallest and largest struct agree. Both are partial aggregates, so neither a taxpayer with
     very many rows nor the product of several such sources ever meets in one task.
+
+    ``ambiguous="largest"`` keeps the other taxpayers too, with the largest check digit and the
+    largest row of each source.
     """
+    if ambiguous not in ("discard", "largest"):
+        raise ValueError(f"ambiguous: {ambiguous!r}")
     parts = {
         "segment": (segment, v.SEGMENT_COLUMNS), "alerts": (alerts, v.FLAG_COLUMNS),
         "business": (business, v.BUSINESS_COLUMNS), "behaviour": (behaviour, v.BEHAVIOUR_COLUMNS),
@@ -257,13 +262,13 @@ def build_profile(
         _known(df).select(*KEY, F.struct(*cols).alias(name)) for name, (df, cols) in parts.items()
     ]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    low = [F.min(name).alias(name) for name in SOURCES]
-    high = [F.max(name).alias(f"_{name}") for name in SOURCES]
-    grouped = rows.groupBy(v.RUT).agg(F.min(v.DV).alias(v.DV), F.max(v.DV).alias("_dv"), *low, *high)
-    single = grouped.where(F.col(v.DV) == F.col("_dv"))
-    for name in SOURCES:
-        single = single.where(F.col(name).eqNullSafe(F.col(f"_{name}")))
-    return single.select(
+    low = [F.min(name).alias(f"_{name}") for name in (v.DV, *SOURCES)]
+    high = [F.max(name).alias(name) for name in (v.DV, *SOURCES)]
+    kept = rows.groupBy(v.RUT).agg(*high, *low)
+    if ambiguous == "discard":
+        for name in (v.DV, *SOURCES):
+            kept = kept.where(F.col(name).eqNullSafe(F.col(f"_{name}")))
+    return kept.select(
         *KEY, *(F.col(f"{name}.{col}").alias(col) for name, (_, cols) in parts.items() for col in cols)
     ).select(*v.PROFILE_COLUMNS)
 

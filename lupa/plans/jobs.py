@@ -22,17 +22,28 @@ from ..sources import tables
 
 
 class Warehouse(dict):
-    """Input tables by short name, read from the catalog when first used."""
+    """Input tables by short name, read from the catalog when first used.
 
-    def __init__(self, spark: SparkSession):
+    ``month`` names the column by which the documents are partitioned by month, if they are.
+    """
+
+    def __init__(self, spark: SparkSession, month: str | None = None):
         super().__init__()
-        self.spark = spark
+        self.spark, self.month = spark, month
 
     def __missing__(self, name: str) -> DataFrame:
-        self[name] = tables.table(self.spark, name)
+        extra = [self.month] if self.month and name == "documents" else []
+        self[name] = tables.table(self.spark, name, extra=extra)
         return self[name]
 
 
+def recent_invoices(source: Mapping[str, DataFrame], **span: int) -> DataFrame:
+    """Invoices of the last ``months`` or ``days``, reading only those months where that is possible."""
+    month = getattr(source, "month", None)
+    pool = tables.invoices(source["documents"], extra=[month] if month else [])
+    return documents.recent(pool, month_partition=month, **span).select(*v.DOCUMENT_COLUMNS)
+
+
 @dataclass(frozen=True)
 class Store:
     """Folder of the Parquet datasets the jobs hand to one another."""
@@ -64,7 +75,7 @@ def taxpayers_job(source: Mapping[str, DataFrame], store: Store) -> DataFrame:
 
 def recent_job(source: Mapping[str, DataFrame], store: Store, days: int = 14) -> DataFrame:
     """All invoices of the last days, with statistics and time features."""
-    window = documents.recent(tables.invoices(source["documents"]), days=days)
+    window = session.stage(recent_invoices(source, days=days), "window")
     return store.write(documents.featured(window), RECENT)
 
 
@@ -73,8 +84,8 @@ def sample_job(source: Mapping[str, DataFrame], store: Store, months: int = 3) -
 
     The window and its classes are written before sampling, which reads them several times.
     """
-    window = documents.recent(tables.invoices(source["documents"]), months=months)
-    featured = documents.featured(session.stage(window, "window")).drop(v.SIGNED, v.EMITTED)
+    window = session.stage(recent_invoices(source, months=months), "window")
+    featured = documents.featured(window).drop(v.SIGNED, v.EMITTED)
     profile = store.read(PROFILE)
     classed = session.stage(sampling.with_both_classes(featured, profile), "classed")
     return store.write(sampling.balanced_of(classed), SAMPLE)
@@ -90,8 +101,7 @@ def enrich_job(store: Store) -> tuple[DataFrame, DataFrame]:
 
 def links_job(source: Mapping[str, DataFrame], store: Store, days: int = 14) -> None:
     """Cession and ledger links of the recent invoices."""
-    window = documents.recent(tables.invoices(source["documents"]), days=days)
-    window = session.stage(window, "window")
+    window = session.stage(recent_invoices(source, days=days), "window")
     linked = links.cession_link(window, source["cession_documents"])
     store.write(linked, "cesiones")
     store.write(links.times_ceded(window, source["cession_documents"]), "veces_cedido")
@@ -174,10 +184,11 @@ def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("job", choices=jobs)
     parser.add_argument("--root", required=True, help="folder of the hand-off datasets")
+    parser.add_argument("--month", help="column by which the documents are partitioned by month")
     parser.add_argument("--run-id", default="run", help="id of a model run, kept with its predictions")
     args = parser.parse_args()
     spark = session.build(f"lupa-{args.job}")
-    jobs[args.job](Warehouse(spark), Store(spark, args.root))
+    jobs[args.job](Warehouse(spark, args.month), Store(spark, args.root))
 
 
 if __name__ == "__main__":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -80,9 +82,11 @@ LEDGER = _table(
 )
 
 
-def conform(df: DataFrame, schema: StructType) -> DataFrame:
+def conform(df: DataFrame, schema: StructType, extra: Sequence[str] = ()) -> DataFrame:
     """Select the columns of ``schema`` in order, cast to its types; missing columns are an error.
 
+    ``extra`` names further columns to keep as they are, such as partition columns.
+
     A column that already has the right type is passed through bare, so filters on it still reach
     the scan.
     """
@@ -97,4 +101,4 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
         if have.dataType != field.dataType:
             column = column.cast(field.dataType)
         columns.append(column.alias(field.name))
-    return df.select(columns)
+    return df.select(*columns, *extra)

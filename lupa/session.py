@@ -49,12 +49,17 @@ def staging_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def application_dir(spark: SparkSession) -> str:
+    return f"{staging_dir(spark).rstrip('/')}/lupa/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    Cuts lineage in a way that survives the loss of executors.
+    Cuts lineage in a way that survives the loss of executors. Everything an application stages is
+    in one folder, ``lupa/<application id>``, which can be removed when it has ended.
     """
     spark = df.sparkSession
-    path = f"{staging_dir(spark).rstrip('/')}/lupa/{name}-{uuid.uuid4().hex}"
+    path = f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -29,10 +29,12 @@ CATALOG = {
 }
 
 
-def table(spark: SparkSession, name: str, identifier: str | None = None) -> DataFrame:
+def table(
+    spark: SparkSession, name: str, identifier: str | None = None, extra: Sequence[str] = ()
+) -> DataFrame:
     """Read one input by its short name, with the expected columns and types."""
     default, schema = CATALOG[name]
-    return schemas.conform(spark.table(identifier or default), schema)
+    return schemas.conform(spark.table(identifier or default), schema, extra)
 
 
 def parquet(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
@@ -40,9 +42,11 @@ def parquet(spark: SparkSession, path: str, schema: StructType | None = None) ->
     return df if schema is None else schemas.conform(df, schema)
 
 
-def invoices(documents: DataFrame, doc_type: int = v.INVOICE) -> DataFrame:
+def invoices(
+    documents: DataFrame, doc_type: int = v.INVOICE, extra: Sequence[str] = ()
+) -> DataFrame:
     """The ten invoice columns, for one document type; both reach the Parquet scan."""
-    return documents.where(F.col("dtdc_codigo") == doc_type).select(*v.DOCUMENT_COLUMNS)
+    return documents.where(F.col("dtdc_codigo") == doc_type).select(*v.DOCUMENT_COLUMNS, *extra)
 
 
 def behaviour(table: DataFrame) -> DataFrame:

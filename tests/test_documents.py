@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lupa import schemas
 from lupa import vocab as v
+from lupa.functions import columns as c
 from lupa.operators import documents as d
 from lupa.operators import enrich, links
 from lupa.operators import taxpayers as t
@@ -45,6 +46,8 @@ def test_time_features(spark):
     assert [got[f]["es_fin_de_semana"] for f in (0, 100, 101)] == [0, 1, 1]
     assert [got[f]["dia_semana"] for f in (0, 100, 101)] == [2, 7, 1]
     assert abs(got[0]["semana_mes"] - (9 / 7 + 1)) < 1e-12
+    whole = docs.select(c.week_of_month(F.col(v.SIGNED), whole=True).alias("w")).where("w is not null")
+    assert {r["w"] for r in whole.collect()} == {2}
     empty = got[102]
     assert (empty["hora"], empty["bloque_horario"], empty["es_fin_de_semana"]) == (None, "Noche", 0)
 

@@ -131,6 +131,15 @@ def test_jobs_hand_over_through_parquet(spark, source, tmp_path):
     assert store.read("seguimiento/predicciones").where("run_id = 'run-1'").count() == sample.count()
 
 
+def test_jobs_read_only_the_months_they_need(spark, source, rows, tmp_path):
+    path = str(tmp_path / "docs")
+    months = source["documents"].withColumn("month", F.date_format(v.EMITTED, "yyyy-MM"))
+    tables.overwrite(months, path, ["month"])
+    warehouse = jobs.Warehouse(spark, month="month")
+    warehouse["documents"] = spark.read.parquet(path)
+    assert rows(jobs.recent_invoices(warehouse, months=3)) == rows(jobs.recent_invoices(source, months=3))
+
+
 def test_catalog_tables(spark, source):
     source["units"].createOrReplaceTempView("some_units")
     assert tables.table(spark, "units", "some_units").columns == ["UNOP_UNIDAD", "UNOP_COD_REGIONAL"]

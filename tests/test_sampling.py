@@ -17,6 +17,7 @@ def test_class_sizes_and_fractions(spark, rows):
     )
     sizes = s.class_sizes(classed)
     assert rows(sizes) == [("x", 2), ("y", 1)]
+    assert rows(s.class_sizes(classed, count_key=None)) == [("x", 3), ("y", 1)]
     assert rows(s.fractions(sizes)) == [("x", 0.5), ("y", 1.0)]
 
 

@@ -136,6 +136,13 @@ def test_profile_drops_ambiguous_taxpayers(spark, source):
     assert kept(activity=parts["activity"].unionByName(nameless)) == base
 
 
+def test_profile_can_keep_ambiguous_taxpayers(source):
+    parts = t.profile_sources(source)
+    largest = t.build_profile(**parts, ambiguous="largest")
+    ruts = {r[v.RUT] for df in parts.values() for r in df.select(v.RUT).collect()}
+    assert sorted(r[v.RUT] for r in largest.select(v.RUT).collect()) == sorted(ruts)
+
+
 def test_taxpayer_class(spark, rows):
     df = spark.createDataFrame([("x", None), (None, 1), (None, None)], "e string, p int")
     got = df.select(c.taxpayer_class(F.col("e"), F.col("p")).alias("t"))
