@@ -22,7 +22,10 @@ def attach_profile(
 
 
 def parties(documents: DataFrame, profile: DataFrame) -> DataFrame:
-    """Documents with the profile of issuer (``emis_``) and receiver (``recep_``)."""
+    """Documents with the profile of issuer (``emis_``) and receiver (``recep_``).
+
+    ``documents`` is also read to count its keys, so it should be stored rather than computed.
+    """
     issued = attach_profile(documents, profile, v.ISSUER)
     return attach_profile(issued, profile, v.RECEIVER, counted=documents)
 

@@ -10,7 +10,6 @@ from lupa import schemas
 from lupa import session
 from lupa import vocab as v
 from lupa.operators import documents as d
-from lupa.operators import outliers
 from lupa.operators import quantiles as qt
 from lupa.plans import jobs
 from lupa.sources import tables

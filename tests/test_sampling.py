@@ -1,7 +1,5 @@
-from pyspark.sql import functions as F
 
 from lupa import vocab as v
-from lupa.operators import documents as d
 from lupa.operators import sampling as s
 from lupa.operators import taxpayers as t
 from lupa.sources import tables
