@@ -10,6 +10,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ def query(fn):
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Source(configure(spark), sf_dir))
+            return _dates_as_timestamps(fn(Source(configure(spark), sf_dir)))
 
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         return run
@@ -45,6 +47,12 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # -- helpers -----------------------------------------------------------------
 
 
+def _dates_as_timestamps(df: DataFrame) -> DataFrame:
+    """Dates as timestamps, the type of the test tables, which engines print alike."""
+    dates = [name for name, kind in df.dtypes if kind == "date"]
+    return df.withColumns({name: F.col(name).cast("timestamp_ntz") for name in dates}) if dates else df
+
+
 def steady(column: str | Column, digits: int = 2) -> Column:
     """A double cut to ``digits`` decimals, for comparison between engines.
 
@@ -564,6 +572,16 @@ def assembled_features(src):
     )
 
 
+@query
+def feature_totals(src):
+    """Sum of every slot of the assembled vector, by feature name."""
+    encoded, encoder = _encoded(src)
+    sums = prep.assemble(encoded, encoder).agg(Summarizer.sum(F.col("features")).alias("total"))
+    names = F.array(*(F.lit(name) for name in prep.feature_names(encoder)))
+    pairs = sums.select(F.explode(F.arrays_zip(names.alias("feature"), vector_to_array("total").alias("total"))))
+    return pairs.select("col.feature", steady("col.total", 1).alias("total"))
+
+
 def _forest(src):
     def build():
         encoded, encoder = _encoded(src)
@@ -647,6 +665,19 @@ def surrogate_best_leaf_path(src):
     return surrogate.path(surrogate.rules(model, src["documents"]), best)
 
 
+@query
+def flagged_predictions(src):
+    """Threshold and labels on a score that SQL has as well."""
+    scored = src["predictions"].select("uuid", F.col("prediction").alias("score"))
+    return iforest.flag(scored, iforest.threshold(scored))
+
+
+@query
+def flagged_prediction_total(src):
+    scored = src["predictions"].select("uuid", F.col("prediction").alias("score"))
+    return iforest.outlier_total(iforest.flag(scored, iforest.threshold(scored)))
+
+
 # the same evaluation operators on labels and predictions that SQL can derive too
 
 
@@ -717,6 +748,13 @@ def recorded_metrics(src):
     return steadied(tables.parquet(src.spark, path), ["value"], 6)
 
 
+@query
+def tracked_invoices(src):
+    """Predictions with ids that SQL can derive too; the amount stands in for a score."""
+    made_at = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    return monitor.predict(invoices(src), "first-run", made_at, prediction=v.AMOUNT)
+
+
 @query
 def tracked_scores(src):
     scored = _flagged(src)
