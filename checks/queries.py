@@ -24,6 +24,7 @@ from lupa.session import application_dir, configure, stage
 from lupa.sources import tables
 
 from .fixtures import Source, handed_over
+from .shown import DATES, DOUBLES
 
 QUERIES: dict[str, Callable[[Source], DataFrame]] = {}
 
@@ -36,7 +37,7 @@ def query(fn):
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return _dates_as_timestamps(fn(Source(configure(spark), sf_dir)))
+            return _shown(fn(Source(configure(spark), sf_dir)), fn.__name__)
 
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         return run
@@ -47,10 +48,11 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # -- helpers -----------------------------------------------------------------
 
 
-def _dates_as_timestamps(df: DataFrame) -> DataFrame:
-    """Dates as timestamps, the type of the test tables, which engines print alike."""
-    dates = [name for name, kind in df.dtypes if kind == "date"]
-    return df.withColumns({name: F.col(name).cast("timestamp_ntz") for name in dates}) if dates else df
+def _shown(df: DataFrame, name: str) -> DataFrame:
+    """Dates as timestamps and whole numbers that can be missing as doubles, see ``shown``."""
+    casts = {c: F.col(c).cast("timestamp_ntz") for c in DATES.get(name, ())}
+    casts |= {c: F.col(c).cast("double") for c in DOUBLES.get(name, ())}
+    return df.withColumns(casts) if casts else df
 
 
 def steady(column: str | Column, digits: int = 2) -> Column:
