@@ -5,10 +5,11 @@ the probabilities of all categories before it. While training, those probabiliti
 that were fitted without the document's fold, so a later model does not learn to trust scores that the
 earlier model could only give to documents it knew.
 
-Features are hashed: each lower-cased word and its first four and five letters, present or not, in
-``BUCKETS`` buckets. Training uses the documents of at most ``SAMPLE`` labelled rows, those with the
-lowest hash of their id. Scoring is a pass over all documents with no shuffle; the weights have a fixed
-size of ``8 * (BUCKETS + 1)`` bytes for each category.
+Features are hashed: each lower-cased word and its first three to five bytes, and the last two bytes of
+each run without blanks, present or not, in ``BUCKETS`` buckets. Every model is fitted on the ``SELECTED`` buckets that depend most on its category
+(chi-square over its own training rows). Training uses the documents of at most ``SAMPLE`` labelled
+rows, those with the lowest hash of their id. Scoring is a pass over all documents with no shuffle; the
+weights that all tasks get have a fixed size of ``4 * BUCKETS`` bytes for each category.
 
 Null and empty texts have no features and get the score of the intercept. Labels of one id are folded
 to the highest; null labels are left out.
@@ -29,14 +30,15 @@ from pyspark.sql import functions as F
 from lupa.llm import words as W
 from lupa.session import stage
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 20
 SAMPLE = 20_000
 FOLDS = 3
-PREFIXES = (4, 5)
+SELECTED = 2048
+PREFIXES = (3, 4, 5)
 
-_STRENGTH = 2e-4
+_STRENGTH = 1e-4
 _PARTS = 5  # of the bounded sample; few, as every round sums one gradient for each
-_ROUNDS = 25
+_ROUNDS = 40
 
 
 def _table() -> np.ndarray:
@@ -52,7 +54,11 @@ def features(column) -> tuple[np.ndarray, np.ndarray]:
     for size in PREFIXES:
         keys.append(W.hashes(words.data, words.start, np.minimum(words.end, words.start + size), seed=100 + size))
     bucket = np.concatenate([k % np.uint64(BUCKETS) for k in keys]).astype(np.int64)
-    pair = np.unique(np.tile(owner, len(keys)) * BUCKETS + bucket)
+    pair = np.tile(owner, len(keys)) * BUCKETS + bucket
+    # how words end, punctuation included
+    ends = W.words_of(column, W.split_table())
+    tail = W.hashes(ends.data, np.maximum(ends.start, ends.end - 2), ends.end, seed=200) % np.uint64(BUCKETS)
+    pair = np.unique(np.concatenate([pair, ends.text_of() * BUCKETS + tail.astype(np.int64)]))
     return pair % BUCKETS, np.bincount(pair // BUCKETS, minlength=len(words.first) - 1)
 
 
@@ -87,19 +93,42 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-@F.udf(VectorUDT())
-def _vector(buckets, earlier):
-    """Only for the bounded training sample."""
-    size = BUCKETS + len(earlier)
-    return SparseVector(size, [*buckets, *range(BUCKETS, size)], [1.0] * len(buckets) + [float(x) for x in earlier])
-
-
-def _fit(rows: DataFrame, category: str) -> tuple[np.ndarray, float]:
+def select(rows: DataFrame, category: str) -> np.ndarray:
+    """The buckets of at least three rows that depend most on the category, in ascending order."""
+    total = rows.agg(F.count("*").alias("n"), F.sum(category).alias("yes")).first()
+    n, yes = float(total["n"]), float(total["yes"])
+    held = rows.select(category, F.explode("_buckets").alias("bucket")).groupBy("bucket").agg(
+        F.count("*").cast("double").alias("in"), F.sum(category).alias("both")
+    ).filter(F.col("in") >= 3)
+    gap = n * F.col("both") - yes * F.col("in")
+    spread = F.col("in") * (n - F.col("in")) * yes * (n - yes)
+    best = held.select("bucket", (n * gap * gap / F.greatest(spread, F.lit(1.0))).alias("chi")).orderBy(F.desc("chi"), "bucket")
+    return np.sort(np.array([r["bucket"] for r in best.limit(SELECTED).collect()], np.int64))
+
+
+def _fit(rows: DataFrame, category: str, earlier: int) -> tuple[np.ndarray, float]:
+    """Weights of all buckets and of the earlier categories, and the intercept."""
+    chosen = select(rows, category)
+    shared = rows.sparkSession.sparkContext.broadcast(chosen)
+
+    @F.udf(VectorUDT())
+    def vector(buckets, before):  # only for the bounded training sample
+        known = shared.value
+        at = np.searchsorted(known, buckets) if len(known) and buckets else np.zeros(0, np.int64)
+        held = [i for i, bucket in zip(at.tolist(), buckets, strict=True) if i < len(known) and known[i] == bucket]
+        size = len(known) + len(before)
+        return SparseVector(size, [*held, *range(len(known), size)], [1.0] * len(held) + [float(x) for x in before])
+
+    ready = rows.withColumn("_features", vector("_buckets", "_earlier")).select("_features", category, "_weight")
     model = LogisticRegression(
         featuresCol="_features", labelCol=category, weightCol="_weight", regParam=_STRENGTH, maxIter=_ROUNDS,
-        standardization=False, family="binomial", aggregationDepth=2,
-    ).fit(rows)
-    return model.coefficients.toArray(), float(model.intercept)
+        standardization=False, family="binomial",
+    ).fit(ready)
+    found = model.coefficients.toArray()
+    weights = np.zeros(BUCKETS + earlier, np.float32)
+    weights[chosen] = found[: len(chosen)]
+    weights[BUCKETS:] = found[len(chosen) :]
+    return weights, float(model.intercept)
 
 
 def sample_of(labels: DataFrame, categories: Sequence[str], id: str, sample: int) -> DataFrame:
@@ -130,25 +159,25 @@ def fit(documents: DataFrame, labels: DataFrame, categories: Sequence[str], id:
         share = rows.agg(F.mean(category).alias("share")).first()["share"]
         if share is None or share in (0.0, 1.0):  # nothing to tell apart
             fixed = {None: 0.0, 0.0: -20.0, 1.0: 20.0}[share]
-            weights.append(np.zeros(BUCKETS + place))
+            weights.append(np.zeros(BUCKETS + place, np.float32))
             intercepts.append(fixed)
             rows = rows.withColumn("_earlier", F.concat("_earlier", F.array(F.lit(1 / (1 + np.exp(-fixed))))))
             continue
         weight = F.when(F.col(category) > 0, 0.5 / share).otherwise(0.5 / (1 - share))
-        ready = stage(rows.withColumn("_weight", weight).withColumn("_features", _vector("_buckets", "_earlier")), "ready")
+        ready = rows.withColumn("_weight", weight)
         last = place == len(categories) - 1
-        whole = _fit(ready, category)
+        whole = _fit(ready, category, place)
         weights.append(whole[0])
         intercepts.append(whole[1])
         if last:
             break
         scored = None
         for fold in range(folds):
-            w, b = _fit(ready.filter(F.col("_fold") != fold), category)
+            w, b = _fit(ready.filter(F.col("_fold") != fold), category, place)
             part = _scored(ready.filter(F.col("_fold") == fold), w, b)
             scored = part if scored is None else scored.union(part)
         rows = stage(
-            scored.withColumn("_earlier", F.concat("_earlier", F.array("_p"))).drop("_p", "_weight", "_features"), "chained"
+            scored.withColumn("_earlier", F.concat("_earlier", F.array("_p"))).drop("_p", "_weight"), "chained"
         )
     return Chain(tuple(categories), weights, intercepts)
 
