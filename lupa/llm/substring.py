@@ -5,20 +5,23 @@ separates their starts. Every window owns an anchor, the lowest hashed run of ``
 Consecutive windows of a text with one anchor are a path, and equal windows lie on paths with equal
 anchors wherever they occur. So
 
-1. each text is cut into its paths, (anchor, hash of the whole path);
-2. paths are aggregated: their first and last document, and for each anchor how many different paths
-   run through it. An anchor with one path does not branch: the whole path is one compacted edge and
-   its windows share their occurrences;
-3. a join on the paths finds the documents that repeat one of a smaller id: all its windows go;
-4. only where paths branch are single windows compared, and only those of the first document of each
-   path, as the others fell in step 3;
-5. per document, the paths and windows that fell are looked up at their coordinates in the source
+1. each text is cut into its paths, (anchor, hash of the whole path), and these are shuffled once, by
+   anchor. An anchor with one path does not branch: the whole path is one compacted edge, and its
+   windows share their occurrences;
+2. all documents with a path but that of the lowest id lose its windows;
+3. only where paths branch are single windows compared, and only those of the first document of each
+   path, as the others fell in step 2;
+4. per document, the paths and windows that fell are looked up at their coordinates in the source
    text, together with windows that repeat inside it.
 
+The most frequent anchors of a sample of the documents take another way to the same result, with
+aggregates that combine in the map tasks and joins that can be split, so no anchor fills one task. The
+sample decides the way only.
+
 A path is compared by 128 bits (anchor and content), a window at a branch likewise. Documents with
 equal ids do not remove each other's words. Null ids are one id below all others. Null and empty
 texts and texts shorter than a window lose nothing. Nothing depends on partitioning or on the order
-of rows; an anchor in many documents is combined in the map tasks before it is shuffled.
+of rows.
 """
 
 from __future__ import annotations
@@ -27,15 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lupa.llm import words as W
+from lupa.session import stage
 
 WINDOW = 20
-ANCHOR = 4
+ANCHOR = 6
+FREQUENT = 512
+SAMPLE = 64  # one of so many documents
 
 _LOWEST = -(2**63)
+_PATHS = "_anchor long, _content long, _key long"
 
 
 class Paths:
@@ -96,28 +103,20 @@ def _distinct(*parts: np.ndarray) -> np.ndarray:
     return np.unique(mixed, return_index=True)[1]
 
 
-def _paths_of(k: int, m: int, combined: bool):
-    """Distinct paths per document or, combined, per slice of documents with lowest and highest id."""
+def _paths_of(k: int, m: int, frequent=None, wanted: bool = False):
+    """Distinct paths of each document; of ``frequent`` anchors if they are wanted, else of all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in W.text_batches(whole, "_text"):
                 paths = Paths(batch.column("_text"), k, m)
                 key = batch.column("_key").to_numpy()[paths.text]
-                if combined:
-                    order = np.lexsort((key, paths.content, paths.anchor))
-                    anchor, content, key = paths.anchor[order], paths.content[order], key[order]
-                    fresh = np.ones(len(order), bool)
-                    fresh[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
-                    head = np.flatnonzero(fresh)
-                    tail = np.append(head[1:], len(order))[: len(head)] - 1
-                    columns = [_signed(anchor[head]), _signed(content[head]), key[head], key[tail]]
-                    names = ["_anchor", "_content", "_low", "_high"]
-                else:
-                    head = _distinct(paths.anchor, paths.content, key.view(np.uint64))
-                    columns = [_signed(paths.anchor[head]), _signed(paths.content[head]), key[head]]
-                    names = ["_anchor", "_content", "_key"]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                head = _distinct(paths.anchor, paths.content, key.view(np.uint64))
+                if frequent is not None:
+                    head = head[np.isin(paths.anchor[head], frequent.value) == wanted]
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(paths.anchor[head]), _signed(paths.content[head]), pa.array(key[head])], ["_anchor", "_content", "_key"]
+                )
 
     return run
 
@@ -201,8 +200,8 @@ def _left(batch: pa.RecordBatch, words: W.Words, covered: np.ndarray) -> pa.Reco
     bounds[1:] = np.cumsum(np.bincount(owner, weights=size, minlength=texts))
     text = pa.Array.from_buffers(pa.string(), texts, [None, pa.py_buffer(bounds), pa.py_buffer(joined)])
     return pa.RecordBatch.from_arrays(
-        [batch.column("_id"), pa.array(total.astype(np.int64)), pa.array(removed.astype(np.int64)), text],
-        ["_id", "n_words", "n_removed", "kept_text"],
+        [batch.column("_key"), pa.array(total.astype(np.int64)), pa.array(removed.astype(np.int64)), text],
+        ["_key", "n_words", "n_removed", "kept_text"],
     )
 
 
@@ -211,49 +210,60 @@ def _identity(anchor: str, other: str):
     return F.col(anchor).bitwiseXOR(F.col(other))
 
 
+def _frequent(source: DataFrame, k: int, m: int):
+    """Anchors that are frequent in a sample of the documents, at most ``FREQUENT``."""
+    sample = source.filter(F.pmod(F.xxhash64("_key"), F.lit(SAMPLE)) == 0).mapInArrow(_paths_of(k, m), _PATHS)
+    counts = sample.groupBy("_anchor").agg(F.count("*").alias("n")).filter(F.col("n") >= 32)
+    found = counts.orderBy(F.desc("n"), "_anchor").limit(FREQUENT).collect()
+    return source.sparkSession.sparkContext.broadcast(np.array([r["_anchor"] for r in found], np.int64).view(np.uint64))
+
+
+def _compacted(source: DataFrame, k: int, m: int) -> DataFrame:
+    """For each document, the paths that fell and the anchors where it holds the first of several paths."""
+    frequent = _frequent(source, k, m)
+    one_anchor, one_path = Window.partitionBy("_anchor"), Window.partitionBy("_anchor", "_content")
+    few = (
+        source.mapInArrow(_paths_of(k, m, frequent), _PATHS).repartition("_anchor")
+        .withColumn("_low", F.min("_key").over(one_path))
+        .withColumn("_branches", F.min("_content").over(one_anchor) != F.max("_content").over(one_anchor))
+    )
+    many = source.mapInArrow(_paths_of(k, m, frequent, True), _PATHS)
+    firsts = many.groupBy("_anchor", "_content").agg(F.min("_key").alias("_low"))
+    branching = many.groupBy("_anchor").agg((F.min("_content") != F.max("_content")).alias("_branches"))
+    many = many.join(firsts, ["_anchor", "_content"]).join(branching, "_anchor")
+    falls, first = F.col("_key") > F.col("_low"), F.col("_branches") & (F.col("_key") == F.col("_low"))
+    return (
+        few.unionByName(many).filter(falls | first).groupBy("_key").agg(
+            F.collect_list(F.when(falls, _identity("_anchor", "_content"))).alias("_paths"),
+            F.collect_set(F.when(first, F.col("_anchor"))).alias("_anchors"),
+        )
+    )
+
+
 def remove_repeats(documents: DataFrame, id: str = "doc_id", text: str = "text", k: int = WINDOW, m: int = ANCHOR) -> DataFrame:
     """Each document without the words of windows that start earlier in the corpus.
 
     Returns ``id``, ``n_words``, ``n_removed`` and ``kept_text`` (the words left, one space between),
     one row per input row.
     """
-    docs = documents.select(
-        F.col(id).alias("_id"), F.coalesce(F.col(id).cast("long"), F.lit(_LOWEST)).alias("_key"), F.col(text).alias("_text")
-    )
-    source = docs.select("_key", "_text")
-    spread = (
-        source.mapInArrow(_paths_of(k, m, True), "_anchor long, _content long, _low long, _high long")
-        .repartition("_anchor")
-        .groupBy("_anchor", "_content").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
-    )
-    shared = spread.filter("_low < _high").select("_anchor", "_content", "_low")
-    occurrences = source.mapInArrow(_paths_of(k, m, False), "_anchor long, _content long, _key long")
-    fallen = (
-        occurrences.join(shared, ["_anchor", "_content"]).filter("_key > _low")
-        .groupBy("_key").agg(F.collect_list(_identity("_anchor", "_content")).alias("_paths"))
-    )
-    # the paths through one anchor, and the documents that hold the first occurrence of each
-    branches = (
-        spread.groupBy("_anchor").agg(F.min("_content").alias("_one"), F.max("_content").alias("_other"))
-        .filter("_one <> _other").select("_anchor")
-    )
-    heads = (
-        spread.join(branches, "_anchor").groupBy(F.col("_low").alias("_key"))
-        .agg(F.collect_set("_anchor").alias("_anchors"))
-    )
-    single = source.join(heads, "_key").select("_key", "_text", "_anchors").mapInArrow(
+    kind = documents.schema[id].dataType
+    docs = documents.select(F.coalesce(F.col(id).cast("long"), F.lit(_LOWEST)).alias("_key"), F.col(text).alias("_text"))
+    marks = stage(_compacted(docs, k, m), "paths")
+    heads = marks.filter(F.size("_anchors") > 0).select("_key", "_anchors")
+    single = docs.join(heads, "_key").select("_key", "_text", "_anchors").mapInArrow(
         _windows_of(k, m), "_anchor long, _window long, _key long"
     )
     earliest = (
         single.groupBy("_anchor", "_window").agg(F.min("_key").alias("_low"), F.max("_key").alias("_high"))
-        .filter("_low < _high")
+        .filter("_low < _high").select("_anchor", "_window", "_low")
     )
     lost = (
         single.join(earliest, ["_anchor", "_window"]).filter("_key > _low")
         .groupBy("_key").agg(F.collect_list(_identity("_anchor", "_window")).alias("_windows"))
     )
-    left = (
-        docs.join(fallen, "_key", "left").join(lost, "_key", "left").select("_id", "_text", "_paths", "_windows")
-        .mapInArrow(_kept(k, m), f"_id {documents.schema[id].dataType.simpleString()}, n_words long, n_removed long, kept_text string")
+    fallen = marks.filter(F.size("_paths") > 0).select("_key", "_paths")
+    left = docs.join(fallen, "_key", "left").join(lost, "_key", "left").select("_key", "_text", "_paths", "_windows").mapInArrow(
+        _kept(k, m), "_key long, n_words long, n_removed long, kept_text string"
     )
-    return left.withColumnRenamed("_id", id)
+    named = F.when(F.col("_key") != _LOWEST, F.col("_key")).cast(kind)
+    return left.select(named.alias(id), "n_words", "n_removed", "kept_text")
