@@ -7,15 +7,18 @@ components of the links.
 
 1. Document frequencies are counted over all documents into a table of fixed size (``BUCKETS``
    numbers, about 1 MB), as feature hashing does. Runs that share a bucket share a frequency, so all
-   documents see the same weights. This table is the only thing that is broadcast.
+   documents see the same weights. This table is the only thing that is broadcast. The logarithm is
+   damped by a power, since the runs of a text with thousands of near copies are frequent because of
+   these copies, and undamped their few different words would outweigh all that they share.
 2. Documents of equal words are one class, and only one of them is compared further.
 3. Consistent weighted sampling draws, for each of ``bands x rows`` hash functions, the same run from
    two documents with a probability equal to their similarity. Classes whose draws agree in all rows
    of a band meet in a bucket.
 4. In each bucket one class, the pivot, is compared exactly with all others. Links join classes to
-   components. A bucket that is in one component is done. In a second turn the class with most links
-   so far is the pivot; what is in several components after that is compared in full, but only
-   across components. So no group emits all its pairs, and no candidate pair is left undecided.
+   components, and a bucket that is in one component is done. The classes of the others are dealt to
+   blocks of about ``BLOCK`` and each two blocks are compared in full by a matrix product in one task,
+   which returns only the links that join components. So no pairs of a group are emitted, and no
+   candidate pair is left undecided.
 5. Every comparison is exact, on whole texts.
 
 Null and empty texts have no words: each is a class and group of its own. Texts of one to four words
@@ -40,10 +43,13 @@ SIMILARITY = 0.8
 BANDS = 12
 ROWS = 4
 BUCKETS = 1 << 18
+DAMPING = 0.25
+BLOCK = 256
 
 _SLICE = 1 << 20
 _MARK = "_near_dups_key"
 _DEFAULTS = {"k": SHINGLE, "similarity": SIMILARITY, "bands": BANDS, "rows": ROWS}
+_COLUMNS = 4096
 _SIZED = 1e-9
 
 
@@ -101,8 +107,8 @@ def inverse_frequencies(docs: DataFrame, k: int) -> np.ndarray:
     held = counted.toPandas()
     total = np.ones(BUCKETS)
     total[held["bucket"].to_numpy()] = held["n"].to_numpy()
-    n = docs.count()
-    return np.log1p(n / total).astype(np.float32)
+    n = max(1, docs.count())
+    return ((np.log1p(n / total) / np.log1p(n)) ** DAMPING).astype(np.float32)
 
 
 def _gamma_two() -> np.ndarray:
@@ -223,6 +229,55 @@ def _similarity(k: int, weights):
     return run
 
 
+def _block_links(k: int, similarity: float, weights):
+    """Links among the texts of a block pair that join components, found by one product of matrices.
+
+    A run that occurs twice is two features, so the sum of the lower weights of two texts is the
+    weight of the features they share."""
+
+    def run(table: pa.Table) -> pa.Table:
+        idf = weights.value
+        sets = Shingles(table.column("_text"), k)
+        total = np.bincount(sets.text, sets.times * idf[sets.bucket()].astype(np.float64), sets.texts)
+        owner, run_ = np.repeat(sets.text, sets.times), np.repeat(sets.run, sets.times)
+        level = np.arange(len(owner)) - np.repeat(np.cumsum(sets.times) - sets.times, sets.times)
+        _, first, feature, many = np.unique(
+            W.mix(run_ + level.astype(np.uint64) * W._BASE), return_index=True, return_inverse=True, return_counts=True
+        )
+        weight = idf[(run_[first] % np.uint64(BUCKETS)).astype(np.int64)].astype(np.float64)
+        common = np.flatnonzero(many > 1)
+        column = np.full(len(many), -1)
+        column[common] = np.arange(len(common))
+        column = column[feature]
+        owner, column = owner[column >= 0], column[column >= 0]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        shared = np.zeros((sets.texts, sets.texts))
+        for a in range(0, len(common), _COLUMNS):
+            x, y = np.searchsorted(column, (a, a + _COLUMNS))
+            part = np.zeros((sets.texts, min(_COLUMNS, len(common) - a)))
+            part[owner[x:y], column[x:y] - a] = 1
+            shared += (part * weight[common[a : a + _COLUMNS]]) @ part.T
+        either = total[:, None] + total[None, :] - shared
+        label = table.column("label").to_numpy()
+        linked = (shared >= (similarity - _SIZED) * either) & (label[:, None] != label[None, :]) & (either > 0)
+        node, root, out = table.column("node").to_numpy(), {}, []
+
+        def find(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+            a, b = find(label[i]), find(label[j])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((min(node[i], node[j]), max(node[i], node[j])))
+        return pa.table({"_a": pa.array([x[0] for x in out], pa.int64()), "_b": pa.array([x[1] for x in out], pa.int64())})
+
+    return run
+
+
 def components(links: DataFrame, a: str = "_a", b: str = "_b") -> DataFrame:
     """Lowest node reachable from each node that has a link, as (node, label).
 
@@ -244,6 +299,23 @@ def components(links: DataFrame, a: str = "_a", b: str = "_b") -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links: only components that a link joins are looked at."""
+    one = labels.select(F.col("node").alias("_a"), F.col("label").alias("_la"))
+    two = labels.select(F.col("node").alias("_b"), F.col("label").alias("_lb"))
+    between = links.select("_a", "_b").join(one, "_a", "left").join(two, "_b", "left").select(
+        F.coalesce("_la", "_a").alias("_la"), F.coalesce("_lb", "_b").alias("_lb")
+    ).filter("_la <> _lb").distinct()
+    between = stage(between, "between")
+    if not between.limit(1).count():
+        return labels
+    roots = components(between, "_la", "_lb").select(F.col("node").alias("_root_of"), F.col("label").alias("_root"))
+    nodes = labels.union(links.select("_a", "_a")).union(links.select("_b", "_b")).groupBy("node").agg(F.min("label").alias("label"))
+    return stage(
+        nodes.join(roots, F.col("label") == F.col("_root_of"), "left").select("node", F.coalesce("_root", "label").alias("label")), "labels"
+    )
+
+
 def groups(documents: DataFrame, id: str = "doc_id", text: str = "text", k: int = SHINGLE,
            similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: ``id``, ``class_id`` (lowest id with the same words), ``group_id``
@@ -314,30 +386,26 @@ def linked(documents: DataFrame, id: str, text: str, k: int, similarity: float,
     labels = components(links)
     open_ = stage(_unjoined(met, first, labels), "open")
 
-    degree = links.select(F.col("_a").alias("node")).union(links.select("_b")).groupBy("node").agg(F.count("*").alias("degree"))
-    busiest = (
-        open_.join(degree, "node", "left").groupBy("bucket")
-        .agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node", "_weight")).alias("p"))
-        .select("bucket", "p.node", "p._weight")
+    size = open_.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = open_.join(size, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    paired = dealt.select("bucket", "node", "label", "block", other.alias("other")).select(
+        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "label"
     )
-    links = stage(links.union(compared(with_pivot(open_, busiest))).distinct(), "links")
-    labels = components(links)
-    open_ = stage(_unjoined(open_.select("bucket", "node", "_weight"), busiest, labels), "open")
-
-    other = open_.select("bucket", F.col("node").alias("b"), F.col("_weight").alias("_wb"), F.col("label").alias("label_b"))
-    rest = open_.withColumnRenamed("node", "a").withColumnRenamed("_weight", "_wa").join(other, "bucket").filter("a < b and label <> label_b")
-    links = stage(links.union(compared(rest)).distinct(), "links")
-    return members, links, components(links)
+    more = stage(
+        paired.join(texts, "node").groupBy("bucket", "low", "high").applyInArrow(_block_links(k, similarity, weights), "_a long, _b long"),
+        "links",
+    )
+    links = links.select("_a", "_b").union(more).distinct()
+    return members, links, merged(labels, more)
 
 
 def _unjoined(buckets: DataFrame, pivots: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, without the pivots, of buckets that are still in several components."""
-    tagged = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = buckets.select("bucket", "node").join(pivots.select("bucket", "node"), ["bucket", "node"], "left_anti")
+    tagged = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = tagged.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    done = pivots.select("bucket", "node")
-    return tagged.join(several.select("bucket"), "bucket").join(done, ["bucket", "node"], "left_anti").select(
-        "bucket", "node", "_weight", "label"
-    )
+    return tagged.join(several.select("bucket"), "bucket").select("bucket", "node", "label")
 
 
 def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
