@@ -144,6 +144,9 @@ class Vocabulary:
         end = a + np.cumsum(np.array(sizes, np.int64))
         return end - np.array(sizes, np.int64), end
 
+    def has_special_text(self, text: str) -> bool:
+        return any(x in text for x in self.specials)
+
     def _parts(self, text: str) -> list[str]:
         return self.special.split(text) if self.special else [text]
 

@@ -47,7 +47,7 @@ DAMPING = 0.25
 BLOCK = 256
 
 _SLICE = 1 << 20
-_MARK = "_near_dups_key"
+_MARK, _GONE = "_near_dups_key", "_near_dups_gone"
 _DEFAULTS = {"k": SHINGLE, "similarity": SIMILARITY, "bands": BANDS, "rows": ROWS}
 _COLUMNS = 4096
 _SIZED = 1e-9
@@ -413,6 +413,6 @@ def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", *
     members, _, labels = linked(documents, id, text, **{**_DEFAULTS, **settings})
     gone = (
         members.join(labels, F.col("class_id") == F.col("node"), "left")
-        .filter(F.col("_key") != F.coalesce("label", "class_id")).select("_key").distinct()
+        .filter(F.col("_key") != F.coalesce("label", "class_id")).select(F.col("_key").alias(_GONE)).distinct()
     )
-    return documents.withColumn(_MARK, _key(id, text)).join(gone, F.col(_MARK) == F.col("_key"), "left_anti").drop(_MARK)
+    return documents.withColumn(_MARK, _key(id, text)).join(gone, F.col(_MARK) == F.col(_GONE), "left_anti").drop(_MARK)

@@ -71,7 +71,7 @@ class Texts:
         breaks = np.flatnonzero(self.data == 0x0A)
         start = np.unique(np.concatenate([self.offsets[:-1], breaks + 1]))
         start = start[start < len(self.data)]
-        end = np.append(start[1:], len(self.data))
+        end = np.append(start[1:], len(self.data))[: len(start)]
         end = np.where((self.data[np.maximum(end, 1) - 1] == 0x0A) & (end > start), end - 1, end)
         held = np.searchsorted(self.words.start, end) > np.searchsorted(self.words.start, start)
         start, end = start[held], end[held]

@@ -80,7 +80,7 @@ def scaled(counts: np.ndarray) -> np.ndarray:
     if over < 0:
         out[order[0]] -= over
     while over > 0:
-        spare = out[order] - 1
+        spare = np.maximum(out[order] - 1, 0)
         take = np.minimum(spare, np.maximum(1, over * out[order] // goal))
         take = np.where(np.cumsum(take) <= over, take, np.maximum(0, over - (np.cumsum(take) - take)))
         out[order] -= take
