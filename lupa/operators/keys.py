@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 # 1 / HOT_SHARE hot keys whatever the size of the data.
 HOT_SHARE = 0.002
 HOT_SPLITS = 64
-SUB_KEY_COLUMNS = 8
+# Rows of a hot key that share a sub-key, about.
+SPLIT_ROWS = 1_000_000
 
 
 def with_prefix(df: DataFrame, prefix: str) -> DataFrame:
@@ -65,8 +66,8 @@ def spread_left_join(
 ) -> DataFrame:
     """``left`` outer- or semi-joined to ``right``, with hot left keys spread over tasks.
 
-    ``right`` should hold few rows per key. Rows of a hot key get one of ``splits`` sub-keys and
-    the matching right rows are repeated once per sub-key; all other keys have a single sub-key.
+    ``right`` should hold few rows per key. Rows of a hot key get one of at least ``splits`` sub-keys,
+    more of them the more rows it has, and the matching right rows are repeated once per sub-key; all other keys have a single sub-key.
     Rows with a null key match nothing and are spread as well.
 
     ``counted`` is where keys are counted: the documents before earlier joins, so that a chain of
@@ -80,7 +81,7 @@ def spread_left_join(
         F.when(F.col("_is_hot") | any_null, _sub_key(left, splits)).otherwise(0).alias("_sub"),
     )
     repeated = _with_hot(right, hot, rkeys).select(
-        *right.columns, F.explode(_sub_keys(splits)).alias("_rsub")
+        *right.columns, F.explode(_sub_keys(F.lit(0))).alias("_rsub")
     )
     condition = reduce(
         Column.__and__, (F.col(l) == F.col(r) for l, r in on), F.col("_sub") == F.col("_rsub")
@@ -95,12 +96,15 @@ def spread_right_join(
 
     Here the right rows of a hot key get sub-keys and the left rows are repeated. A hot key does
     have right rows, so its left rows always match somewhere and the repeats that find nothing are
-    dropped. Hot left keys are left to adaptive execution, which may split the left side.
+    dropped. Left rows with a null key match nothing and are spread. Hot left keys are left to
+    adaptive execution, which may split the left side.
     """
     lkeys, rkeys = [l for l, _ in on], [r for _, r in on]
     hot = _marked_hot(right, rkeys, splits)
+    any_null = reduce(Column.__or__, (F.col(k).isNull() for k in lkeys))
+    alone = F.when(any_null, _sub_key(left, splits)).otherwise(0)
     repeated = _with_hot(left, hot, lkeys).select(
-        *left.columns, "_is_hot", F.explode(_sub_keys(splits)).alias("_sub")
+        *left.columns, "_is_hot", F.explode(_sub_keys(alone)).alias("_sub")
     )
     spread = _with_hot(right, hot, rkeys).select(
         *right.columns, F.when(F.col("_is_hot"), _sub_key(right, splits)).otherwise(0).alias("_rsub")
@@ -116,20 +120,26 @@ def hot_keys(
     df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, least: int = 1
 ) -> DataFrame:
     """Key values that hold more than ``share`` of the rows: fewer than ``1 / share`` of them."""
-    counts = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).groupBy(*keys).count()
-    total = counts.agg(F.sum("count")).scalar()
-    hot = counts.where(F.col("count") > total * share)
-    return (hot.where(F.col("count") >= least) if least > 1 else hot).select(*keys)
+    return _counted_hot(df, keys, share, least).select(*keys)
+
+
+def _counted_hot(df: DataFrame, keys: Sequence[str], share: float, least: int) -> DataFrame:
+    counts = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).groupBy(*keys).agg(F.count("*").alias("_rows"))
+    total = counts.agg(F.sum("_rows")).scalar()
+    hot = counts.where(F.col("_rows") > total * share)
+    return hot.where(F.col("_rows") >= least) if least > 1 else hot
 
 
 def _marked_hot(df: DataFrame, keys: Sequence[str], splits: int) -> DataFrame:
     """Hot keys under neutral names. The list is short by construction, see ``HOT_SHARE``."""
-    hot = hot_keys(df, keys, least=splits)
-    return hot.toDF(*(f"_hot{i}" for i in range(len(keys)))).withColumn("_is_hot", F.lit(True))
+    hot = _counted_hot(df, keys, HOT_SHARE, splits)
+    needed = F.greatest(F.lit(splits), F.ceil(F.col("_rows") / SPLIT_ROWS).cast("int"))
+    named = hot.select(*(F.col(k).alias(f"_hot{i}") for i, k in enumerate(keys)), needed.alias("_splits"))
+    return named.withColumn("_is_hot", F.lit(True))
 
 
 def _with_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``df`` with ``_is_hot``, true or null, from the short list of hot keys."""
+    """``df`` with ``_is_hot``, true or null, and ``_splits`` from the short list of hot keys."""
     same = reduce(Column.__and__, (F.col(k) == F.col(f"_hot{i}") for i, k in enumerate(keys)))
     return df.join(F.broadcast(hot), same, "left")
 
@@ -138,12 +148,13 @@ def _sub_key(df: DataFrame, splits: int) -> Column:
     """A sub-key from the row's content and its input partition.
 
     Never from a random number: a task that is run again must produce the same rows. The partition
-    keeps exact copies from staying together, so a few columns are enough.
+    keeps exact copies from staying together.
     """
-    content = F.xxhash64(*df.columns[:SUB_KEY_COLUMNS])
-    return F.pmod(content + F.spark_partition_id(), F.lit(splits)).cast("int")
+    content = F.xxhash64(*df.columns)
+    return F.pmod(content + F.spark_partition_id(), F.coalesce("_splits", F.lit(splits))).cast("int")
 
 
-def _sub_keys(splits: int) -> Column:
-    every = F.sequence(F.lit(0), F.lit(splits - 1))
-    return F.when(F.col("_is_hot"), every).otherwise(F.array(F.lit(0)))
+def _sub_keys(alone: Column) -> Column:
+    """All sub-keys of a hot key, else the one that is given."""
+    every = F.sequence(F.lit(0), F.col("_splits") - 1)
+    return F.when(F.col("_is_hot"), every).otherwise(F.array(alone))

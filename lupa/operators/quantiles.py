@@ -12,15 +12,20 @@ from pyspark.sql import functions as F
 BINS = 16384
 
 
+def _numbers(df: DataFrame, value: str, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+    number = F.col(value).cast("double")
+    kept = df.where(F.col(value).isNotNull() & ~F.isnan(number))
+    for key in keys:
+        kept = kept.where(F.col(key).isNotNull())
+    return kept, number
+
+
 def value_counts_of(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows per (keys, value) with ``v`` and ``n``; null keys and null values are left out.
+    """Rows per (keys, value) with ``v`` and ``n``; null keys, null values and NaN are left out.
 
     Counting equal values first makes a heavily repeated value as cheap as any other.
     """
-    kept = df.where(F.col(value).isNotNull())
-    for key in keys:
-        kept = kept.where(F.col(key).isNotNull())
-    number = F.col(value).cast("double")
+    kept, number = _numbers(df, value, keys)
     return kept.groupBy(*keys, number.alias("v")).agg(F.count("*").alias("n"))
 
 
@@ -91,10 +96,7 @@ def quantiles(
     """
     if accuracy is None:
         return quantiles_of_counts(value_counts_of(df, value, keys), probs, keys)
-    kept = df.where(F.col(value).isNotNull())
-    for key in keys:
-        kept = kept.where(F.col(key).isNotNull())
-    number = F.col(value).cast("double")
+    kept, number = _numbers(df, value, keys)
     return kept.groupBy(*keys).agg(
         F.count("*").alias("rows"),
         *(F.percentile_approx(number, q, accuracy).alias(name) for name, q in probs.items()),

@@ -59,6 +59,12 @@ def _describe_segment(records: DataFrame) -> DataFrame:
     )
 
 
+def _segment_order():
+    """Start, then rank, as one value; null where either is missing."""
+    day, rank = F.col("ATRC_FECHA_INICIO"), c.segment_rank(F.col("TATR_CODIGO"))
+    return F.when(day.isNotNull() & rank.isNotNull(), F.struct(day.alias("day"), rank.alias("rank")))
+
+
 def segments(taxpayers: DataFrame, history: DataFrame, attributes: DataFrame) -> DataFrame:
     """Current segment: the highest rank among the latest records, equal records kept.
 
@@ -66,9 +72,7 @@ def segments(taxpayers: DataFrame, history: DataFrame, attributes: DataFrame) ->
     before it meets the taxpayer table.
     """
     records = open_segments(history, attributes)
-    day = F.unix_micros(F.col("ATRC_FECHA_INICIO").cast("timestamp"))
-    order = day * 10 + c.segment_rank(F.col("TATR_CODIGO"))
-    best = latest_with_ties(records, [v.RUT], order)
+    best = latest_with_ties(records, [v.RUT], _segment_order())
     dated = best.withColumn("DIA_AGNO", c.packed_date(F.col("ATRC_FECHA_INICIO")))
     return _describe_segment(taxpayers.select(*KEY).join(dated, v.RUT))
 
@@ -78,10 +82,8 @@ def segment_per_taxpayer(
 ) -> DataFrame:
     """``segments`` without equal records: aggregation only, one row per taxpayer."""
     records = open_segments(history, attributes)
-    day = F.unix_micros(F.col("ATRC_FECHA_INICIO").cast("timestamp"))
-    rank = c.segment_rank(F.col("TATR_CODIGO"))
-    best = records.groupBy(v.RUT).agg(F.max(day * 10 + rank).alias("best")).where("best IS NOT NULL")
-    code = c.lookup(F.col("best") % 10, {r: name for name, r in v.SEGMENT_RANK.items()})
+    best = records.groupBy(v.RUT).agg(F.max(_segment_order()).alias("best")).where("best IS NOT NULL")
+    code = c.lookup(F.col("best.rank"), {r: name for name, r in v.SEGMENT_RANK.items()})
     coded = best.select(v.RUT, code.alias("INICIO_SEGMENTO"))
     labelled = coded.select(
         v.RUT, "INICIO_SEGMENTO", c.company_label(F.col("INICIO_SEGMENTO")).alias("ES_EMPRESA"),

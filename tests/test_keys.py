@@ -105,3 +105,17 @@ def test_hash01_is_free_of_partitioning_and_uniform(spark, rows):
     b = rows(df.repartition(13, "id").where(draw < 0.25))
     assert a == b and 900 < len(a) < 1100
     assert rows(df.where(c.hash01(["id", "n"], 43) < 0.25)) != a
+
+
+def test_null_left_keys_are_spread_over_tasks(spark):
+    left = spark.range(20000).selectExpr("CASE WHEN id % 10 = 0 THEN id END AS k", "id AS x")
+    right = spark.range(0, 20000, 10).selectExpr("id AS j", "id * 2 AS y")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = keys.spread_right_join(left, right, [("k", "j")])
+        sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 20000 and max(sizes) < 2 * sum(sizes) / len(sizes)

@@ -71,3 +71,10 @@ def test_box_whiskers_lie_within_reach(spark):
         assert got.loc[k, "whisker_low"] == pytest.approx(inside.min())
         assert got.loc[k, "whisker_high"] == pytest.approx(inside.max())
         assert got.loc[k, "rows"] == len(part)
+
+
+def test_nan_is_left_out(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("nan"),), (None,)], "a double")
+    for accuracy in (None, 1000):
+        row = qt.quantiles(df, "a", {"m": 0.5}, accuracy=accuracy).first()
+        assert (row["m"], row["rows"]) == (2.0, 3)

@@ -147,3 +147,9 @@ def test_taxpayer_class(spark, rows):
     df = spark.createDataFrame([("x", None), (None, 1), (None, None)], "e string, p int")
     got = df.select(c.taxpayer_class(F.col("e"), F.col("p")).alias("t"))
     assert rows(got) == [("Persona",), ("indefinido",), ("x",)]
+
+
+def test_segments_before_1970(spark, rows):
+    inputs = segment_inputs(spark, [("a", "SGGC", dt.date(1965, 3, 1), None, 1), ("a", "SGMI", dt.date(1960, 1, 1), None, 1)])
+    columns = ["CONT_RUT", "INICIO_SEGMENTO"]
+    assert rows(t.segment_per_taxpayer(*inputs), *columns) == rows(t.segments(*inputs), *columns) == [("a", "SGGC")]
