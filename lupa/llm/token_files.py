@@ -38,6 +38,7 @@ BITS = 20
 LANES = 4096
 STRIDE = 256
 BLOCK_TOKENS = 1 << 22
+MOST_TASKS = 50_000
 
 _MAGIC = b"RANS1\0\0\0"
 _LOW = np.uint64(1 << 32)
@@ -365,13 +366,18 @@ def read(spark: SparkSession, folder: str, id: str = "doc_id") -> DataFrame:
     inner = F.coalesce(F.sum("tokens").over(earlier), F.lit(0))
     blocks = (
         manifest.withColumn("inner", inner).join(begins, "shard")
-        .select("file", "offset", "size", (F.col("begin") + F.col("inner")).alias("before")).repartition("file", "offset")
+        .select("file", "offset", "size", (F.col("begin") + F.col("inner")).alias("before"))
     )
-    return blocks.mapInArrow(
+    return one_row_tasks(blocks).mapInArrow(
         _reader(f"{folder}/files", frequency), "_id long, start long, n_tokens long, ids binary"
     ).withColumnRenamed("_id", id)
 
 
+def one_row_tasks(listed: DataFrame) -> DataFrame:
+    """A list of files or blocks, dealt to a task for each row, at most ``MOST_TASKS``."""
+    return listed.repartition(max(1, min(listed.count(), MOST_TASKS)))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

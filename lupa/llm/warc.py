@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lupa.llm.token_files import open_folder
+from lupa.llm.token_files import one_row_tasks, open_folder
 
 REVISIT = 1000
 FRAME = 256 << 10
@@ -231,8 +231,8 @@ def _number(name: str) -> int | None:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """All records: ``page_id``, ``url``, ``record_type``, ``payload_digest``, ``refers_to`` and, for
     responses, ``payload``. Bundles are read independently."""
-    bundles = spark.read.parquet(f"{folder}/index").select("bundle").distinct().repartition("bundle")
-    return bundles.mapInArrow(_read_frames(f"{folder}/bundles"), _SHOWN_SQL)
+    bundles = spark.read.parquet(f"{folder}/index").select("bundle").distinct()
+    return one_row_tasks(bundles).mapInArrow(_read_frames(f"{folder}/bundles"), _SHOWN_SQL)
 
 
 def _read_placed(folder: str):
