@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 from lupa.llm import words as W
 
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
 
 _POOL = 16 * REMEMBERED
 _BLANK, _LETTER, _DIGIT, _OTHER = 1, 2, 3, 4

@@ -126,7 +126,7 @@ def _build(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for whole in batches:
-            for batch in W.text_batches(whole, "_text", 4 << 20):
+            for batch in W.text_batches(whole, "_text", 2 << 20):
                 sizes, counts, many = leaves(vocab, batch.column("_text"))
                 bounds = np.append(0, np.cumsum(many))
                 trees = [grow(counts[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]

@@ -28,7 +28,7 @@ from lupa.llm import words as W
 WINDOW = 10
 MOST_WORDS = 20_000_000
 
-_SHARD = 8 << 20
+_SHARD = 4 << 20
 
 
 class Items:

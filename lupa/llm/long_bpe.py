@@ -169,7 +169,7 @@ def _short(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for whole in batches:
-            for batch in W.text_batches(whole, "_text", 4 << 20):
+            for batch in W.text_batches(whole, "_text", 2 << 20):
                 ids, counts = vocab.encode_column(batch.column("_text"))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id"), pa.array(counts), id_lists(ids, counts), _decoded(vocab, ids, counts)],

@@ -233,7 +233,7 @@ def _encoder(path: str, end_id: int | None, width: str):
         vocab = vocabulary(path)
         place = 0
         for whole in batches:
-            for batch in W.text_batches(whole, "_text", 4 << 20):
+            for batch in W.text_batches(whole, "_text", 2 << 20):
                 ids, counts = vocab.encode_column(batch.column("_text"))
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))

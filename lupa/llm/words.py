@@ -16,7 +16,7 @@ import pyarrow.compute  # noqa: F401
 
 BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
-_GROUP_BYTES = 4 << 20
+_GROUP_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -158,7 +158,7 @@ def whole_windows(words: Words, k: int) -> np.ndarray:
     return np.flatnonzero(np.arange(n) + k <= last)
 
 
-def text_batches(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_batches(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with at most ``most_bytes`` of text, or one row."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total, at = np.cumsum(sizes), 0
