@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lupa.llm import words as W
 from lupa.llm.bpe import Vocabulary, id_lists, vocabulary
 
-PART = 1 << 14
+PART = 1 << 15
 MARGIN = 32
 
 _WINDOW = 64
