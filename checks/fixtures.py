@@ -162,12 +162,10 @@ TABLES = {
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
     """One test table. The largest is a single file with a single row group, which only one task
-    could read and process, so it is dealt out first; tables of many files are left as they are."""
+    could read and process, so it is always dealt out first."""
     df = spark.read.parquet(path)
-    tasks = spark.sparkContext.defaultParallelism
-    if path.endswith("/lineitem.parquet") and len(df.inputFiles()) < tasks:
-        return df.repartition(tasks)
-    return df
+    dealt = path.endswith("/lineitem.parquet")
+    return df.repartition(spark.sparkContext.defaultParallelism) if dealt else df
 
 
 # Tables that take a join to derive. They are written as Parquet once per session and directory,

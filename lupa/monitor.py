@@ -3,23 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab as v
 
+# Numbers of copies made in one array.
+COPIES = 65536
+
 
 def predict(
     scored: DataFrame, run_id: str, predicted_at: Column, key: Sequence[str] = v.DOCUMENT_KEY,
     prediction: str = "score",
 ) -> DataFrame:
-    """One tracked prediction per document, with an id that a repeated run reproduces."""
-    parts = [F.coalesce(F.col(name).cast("string"), F.lit("")) for name in key]
-    return scored.select(
-        F.sha2(F.concat_ws(":", *parts, F.lit(run_id)), 256).alias("uuid"), *key,
-        F.col(prediction).alias("prediction"), predicted_at.alias("predicted_at"),
-        F.lit(run_id).alias("run_id"),
+    """One tracked prediction per document, with a unique id that a repeated run reproduces.
+
+    The id is made from key, prediction and run, and from the number of the copy where several
+    documents agree in all of these. Copies are counted before they are numbered, so many copies of
+    one document meet as partial counts; numbers are made in blocks of ``COPIES``.
+    """
+    counted = scored.groupBy(*key, F.col(prediction).alias("prediction")).agg(F.count("*").alias("_n"))
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES).cast("long"))
+    first = F.col("_block") * COPIES + 1
+    copies = F.sequence(first, F.least(first + (COPIES - 1), F.col("_n")))
+    rows = counted.withColumn("_block", F.explode(blocks)).withColumn("_copy", F.explode(copies))
+    parts = [F.coalesce(F.col(name).cast("string"), F.lit("")) for name in (*key, "prediction", "_copy")]
+    return rows.select(
+        F.sha2(F.concat_ws(":", *parts, F.lit(run_id)), 256).alias("uuid"), *key, "prediction",
+        predicted_at.alias("predicted_at"), F.lit(run_id).alias("run_id"),
     )
 
 
@@ -48,6 +61,9 @@ def metric(value: DataFrame, name: str, start: Column, end: Column, model: str)
     )
 
 
-def record(metrics: DataFrame, path: str) -> None:
-    """Append metric rows to the metrics table."""
-    metrics.write.mode("append").parquet(path)
+def record(rows: DataFrame, path: str, run_id: str) -> None:
+    """Add the rows of a run to the table at ``path``, partitioned by ``run_id``.
+
+    A run that is repeated replaces its own rows and no others.
+    """
+    rows.drop("run_id").write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={quote(run_id, safe='')}")

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 # Bins per e-fold of the value. Amounts from 1 to 10 billion make fewer than 400,000 bins, and
 # values packed as closely as scores between 0 and 1 still fall into thousands of them.
 BINS = 16384
+# Finer bins inside the bin of a wanted rank, between the lowest and highest value seen in it.
+FINE = 4096
+# Tasks over which the values of one such bin, or of one group, are dealt.
+PARTS = 64
 
 
 def _numbers(df: DataFrame, value: str, keys: Sequence[str]) -> tuple[DataFrame, Column]:
@@ -35,19 +39,23 @@ def quantiles_of_counts(
     """Interpolated quantiles of each group, from ``value_counts_of``.
 
     A quantile lies between two order statistics. Values are first counted in ordered bins; the
-    running total over the bins tells which bin holds each wanted rank, and only the values of
-    those bins are then ranked one by one. Tasks see bins or the inside of one bin, never a group.
+    running total over the bins tells which bin holds each wanted rank. The values of those bins
+    are dealt over ``PARTS`` tasks and counted again in ``FINE`` bins between the bounds seen, and
+    only the values of the finer bins are then ranked one by one. Tasks see totals of bins, parts of
+    a bin or the inside of a finer bin, never a group.
     """
     keys = list(keys)
     # never null, so that no further filter is derived from the join on it and both uses of
     # ``counts`` share one shuffle
     place = F.coalesce(F.floor(F.signum("v") * F.log1p(F.abs("v")) * BINS).cast("long"), F.lit(0))
     binned = counts.withColumn("bin", place)
-    per_bin = binned.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+    per_bin = binned.groupBy(*keys, "bin").agg(
+        F.sum("n").alias("n"), F.min("v").alias("lowest"), F.max("v").alias("highest")
+    )
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     running = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cumulated = per_bin.select(
-        *keys, "bin", "n", F.sum("n").over(running).alias("upto"), F.sum("n").over(group).alias("total")
+        *keys, "bin", "n", "lowest", "highest", F.sum("n").over(running).alias("upto"), F.sum("n").over(group).alias("total")
     )
     last = F.col("total") - 1
     wanted = F.array(*(
@@ -61,14 +69,28 @@ def quantiles_of_counts(
     before = F.col("upto") - F.col("n")
     here = F.filter(wanted, lambda w: (w["rank"] > before) & (w["rank"] <= F.col("upto")))
     targets = cumulated.select(
-        *keys, "bin", "total", before.alias("before"), F.explode(here).alias("w")
-    ).select(*keys, "bin", "total", "before", "w.*")
-    inside = Window.partitionBy(*keys, "name", "side").orderBy("v")
+        *keys, "bin", "lowest", "highest", "total", before.alias("before"), F.explode(here).alias("w")
+    ).select(*keys, "bin", "lowest", "highest", "total", "before", "w.*")
+    share = (F.col("v") - F.col("lowest")) / (F.col("highest") - F.col("lowest"))
+    fine = F.when(F.col("highest") > F.col("lowest"), F.floor(share * FINE)).otherwise(F.lit(0))
+    cells = binned.withColumn("part", _part()).join(_repeated(targets), [*keys, "bin", "part"])
+    cells = cells.withColumn("fine", fine.cast("int"))
+    goal = [*keys, "name", "side"]
+    per_fine = cells.groupBy(*goal, "before", "rank", "fine").agg(F.sum("n").alias("n"))
+    along = Window.partitionBy(*goal).orderBy("fine")
+    along = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = F.col("upto") - F.col("n")
+    chosen = (
+        per_fine.withColumn("upto", F.col("before") + F.sum("n").over(along))
+        .where((F.col("rank") > ahead) & (F.col("rank") <= F.col("upto")))
+        .select(*goal, "fine", ahead.alias("ahead"))
+    )
+    inside = Window.partitionBy(*goal, "fine").orderBy("v")
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = binned.join(targets, [*keys, "bin"]).withColumn(
-        "reach", F.col("before") + F.sum("n").over(inside)
+    ranked = cells.join(chosen, [*goal, "fine"]).withColumn(
+        "reach", F.col("ahead") + F.sum("n").over(inside)
     )
-    hit = cells.where((F.col("rank") <= F.col("reach")) & (F.col("rank") > F.col("reach") - F.col("n")))
+    hit = ranked.where((F.col("rank") <= F.col("reach")) & (F.col("rank") > F.col("reach") - F.col("n")))
     pick = lambda name, side: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("v")))
     found = hit.groupBy(*keys).agg(
         F.max("total").alias("rows"),
@@ -79,6 +101,16 @@ def quantiles_of_counts(
     )
 
 
+def _part() -> Column:
+    # never null, as above
+    return F.coalesce(F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"), F.lit(0))
+
+
+def _repeated(few: DataFrame) -> DataFrame:
+    """Each row of a table with a few rows per group once for every part."""
+    return few.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+
+
 def _interpolate(name: str, q: float) -> Column:
     low, high = F.col(f"_{name}_low"), F.col(f"_{name}_high")
     position = (F.col("rows") - 1) * F.lit(float(q))
@@ -130,7 +162,7 @@ def box_summary(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("v") >= F.col("q1") - reach) & (F.col("v") <= F.col("q3") + reach)
     return (
-        counts.join(summary.drop("rows"), keys)
+        counts.withColumn("part", _part()).join(_repeated(summary.drop("rows")), [*keys, "part"])
         .groupBy(*keys, *probs)
         .agg(
             F.sum("n").alias("rows"), F.min(F.when(inside, F.col("v"))).alias("whisker_low"),

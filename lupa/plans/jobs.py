@@ -38,7 +38,11 @@ class Warehouse(dict):
 
 
 def recent_invoices(source: Mapping[str, DataFrame], **span: int) -> DataFrame:
-    """Invoices of the last ``months`` or ``days``, reading only those months where that is possible."""
+    """Invoices of the last ``months`` or ``days``, reading only those months where that is possible.
+
+    Documents partitioned by type and month are best: the last month is then found from the
+    partitions alone. With the month only, the type has to be read in every month for that.
+    """
     month = getattr(source, "month", None)
     pool = tables.invoices(source["documents"], extra=[month] if month else [])
     return documents.recent(pool, month_partition=month, **span).select(*v.DOCUMENT_COLUMNS)
@@ -74,9 +78,16 @@ def taxpayers_job(source: Mapping[str, DataFrame], store: Store) -> DataFrame:
 
 
 def recent_job(source: Mapping[str, DataFrame], store: Store, days: int = 14) -> DataFrame:
-    """All invoices of the last days, with statistics and time features."""
+    """All invoices of the last days, with statistics and time features, and with both profiles.
+
+    Statistics and profiles are joined together, so the documents move once per role.
+    """
     window = session.stage(recent_invoices(source, days=days), "window")
-    return store.write(documents.featured(window), RECENT)
+    timed = documents.with_time_features(window)
+    whole = session.stage(enrich.parties_with_statistics(timed, store.read(PROFILE)), "recent")
+    store.write(whole.select(*v.ENRICHED_FULL), ENRICHED)
+    stats = [name for role in (v.ISSUER, v.RECEIVER) for name in v.stat_columns(role)]
+    return store.write(whole.select(*timed.columns, *stats), RECENT)
 
 
 def sample_job(source: Mapping[str, DataFrame], store: Store, months: int = 3) -> DataFrame:
@@ -92,11 +103,10 @@ def sample_job(source: Mapping[str, DataFrame], store: Store, months: int = 3) -
 
 
 def enrich_job(store: Store) -> tuple[DataFrame, DataFrame]:
-    """Profiles of both parties attached to the sample and to the recent invoices."""
+    """Profiles of both parties attached to the sample; ``recent_job`` did so for the recent invoices."""
     profile = store.read(PROFILE)
     sample = store.write(enrich.enriched_sample(store.read(SAMPLE), profile), ENRICHED_SAMPLE)
-    full = store.write(enrich.enriched_full(store.read(RECENT), profile), ENRICHED)
-    return sample, full
+    return sample, store.read(ENRICHED)
 
 
 def links_job(source: Mapping[str, DataFrame], store: Store, days: int = 14) -> None:
@@ -114,9 +124,10 @@ def profiling_job(store: Store) -> None:
     docs = store.read(ENRICHED)
     segment, band = profiling.ISSUER_SEGMENT, "bloque_horario"
     typed = profiling.with_alert_type(profiling.with_alert_flags(docs))
-    inside = qt.within_fences(typed, v.AMOUNT)
+    # several results read these, so their bounds are found once
+    inside = session.stage(qt.within_fences(typed, v.AMOUNT), "inside")
     dawn = profiling.at_dawn(typed)
-    above = outliers.above_p90(docs)
+    above = session.stage(outliers.above_p90(docs), "above")
     results = {
         "conteo_fin_de_semana": profiling.counts(docs, segment, "es_fin_de_semana", drop_null=True),
         "conteo_bloque": profiling.counts(docs, segment, band, drop_null=True),
@@ -168,7 +179,7 @@ def model_job(store: Store, run_id: str, contamination: float = 0.1, seed: int =
     store.write(evaluate.report(predicted, "outliers", "predicted"), "modelo/metricas")
     at = F.lit(spark.sql("SELECT current_timestamp()").first()[0])
     tracked = monitor.predict(flagged, run_id, at, key)
-    tracked.write.mode("append").parquet(store.path("seguimiento/predicciones"))
+    monitor.record(tracked, store.path("seguimiento/predicciones"), run_id)
 
 
 def main() -> None:
@@ -185,8 +196,10 @@ def main() -> None:
     parser.add_argument("job", choices=jobs)
     parser.add_argument("--root", required=True, help="folder of the hand-off datasets")
     parser.add_argument("--month", help="column by which the documents are partitioned by month")
-    parser.add_argument("--run-id", default="run", help="id of a model run, kept with its predictions")
+    parser.add_argument("--run-id", help="id of a model run, kept with its predictions")
     args = parser.parse_args()
+    if args.job == "model" and not args.run_id:
+        parser.error("the model job takes a --run-id; a repeated run replaces its own predictions")
     spark = session.build(f"lupa-{args.job}")
     jobs[args.job](Warehouse(spark, args.month), Store(spark, args.root))
 

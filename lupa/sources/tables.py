@@ -27,14 +27,22 @@ CATALOG = {
     "cessions": ("hivenom.csn_cesion_final", schemas.CESSION),
     "ledger": ("DWBGDATA.DCV_GENERIC_DET_CONSOLIDADO_SAS", schemas.LEDGER),
 }
+WHOLE = ("cession_documents",)
 
 
 def table(
     spark: SparkSession, name: str, identifier: str | None = None, extra: Sequence[str] = ()
 ) -> DataFrame:
-    """Read one input by its short name, with the expected columns and types."""
+    """Read one input by its short name, with the expected columns and types.
+
+    Cession documents keep all their other columns too, which the links pass on.
+    """
     default, schema = CATALOG[name]
-    return schemas.conform(spark.table(identifier or default), schema, extra)
+    found = spark.table(identifier or default)
+    if name in WHOLE:
+        expected = {field.name.lower() for field in schema.fields}
+        extra = [*extra, *(f"`{c}`" for c in found.columns if c.lower() not in expected and c not in extra)]
+    return schemas.conform(found, schema, extra)
 
 
 def parquet(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:

@@ -24,6 +24,17 @@ def test_tracking(spark, rows, tmp_path):
     error = monitor.mean_absolute_error(tracked)
     assert rows(error) == [(0.25, 1)]
     path = str(tmp_path / "metrics")
-    for _ in range(2):
-        monitor.record(monitor.metric(error, "mean_absolute_error", at("2024-01-01 10:00:00"), at("2024-01-01 10:30:00"), "m"), path)
-    assert rows(spark.read.parquet(path), "model", "metric", "value") == [("m", "mean_absolute_error", 0.25)] * 2
+    value = monitor.metric(error, "mean_absolute_error", at("2024-01-01 10:00:00"), at("2024-01-01 10:30:00"), "m")
+    for run in ("r1", "r2", "r1"):
+        monitor.record(value, path, run)
+    found = spark.read.parquet(path)
+    assert rows(found, "run_id", "model", "metric", "value") == [(run, "m", "mean_absolute_error", 0.25) for run in ("r1", "r2")]
+
+
+def test_ids_are_unique(spark, rows, monkeypatch):
+    monkeypatch.setattr(monitor, "COPIES", 3)
+    scored = spark.createDataFrame([(1, 0.5)] * 8 + [(1, 0.25), (None, 0.5), (None, None)], "k int, score double")
+    first = monitor.predict(scored, "r1", at("2024-01-01 10:00:00"), ["k"])
+    again = monitor.predict(scored.repartition(5), "r1", at("2024-01-01 10:00:00"), ["k"])
+    assert first.count() == first.select("uuid").distinct().count() == scored.count()
+    assert rows(first) == rows(again) and rows(first, "k", "prediction") == rows(scored)

@@ -10,6 +10,7 @@ from lupa import schemas
 from lupa import session
 from lupa import vocab as v
 from lupa.operators import documents as d
+from lupa.operators import links
 from lupa.operators import quantiles as qt
 from lupa.plans import jobs
 from lupa.sources import tables
@@ -127,7 +128,8 @@ def test_jobs_hand_over_through_parquet(spark, source, tmp_path):
     assert store.read("analisis/limites_monto").count() == 1
     jobs.model_job(store, "run-1")
     assert store.read("modelo/anomalias").count() == sample.count()
-    assert store.read("seguimiento/predicciones").where("run_id = 'run-1'").count() == sample.count()
+    tracked = store.read("seguimiento/predicciones").where("run_id = 'run-1'")
+    assert tracked.count() == tracked.select("uuid").distinct().count() == sample.count()
 
 
 def test_jobs_read_only_the_months_they_need(spark, source, rows, tmp_path):
@@ -139,6 +141,30 @@ def test_jobs_read_only_the_months_they_need(spark, source, rows, tmp_path):
     assert rows(jobs.recent_invoices(warehouse, months=3)) == rows(jobs.recent_invoices(source, months=3))
 
 
+def test_type_and_month_partitions_reach_every_scan(spark, source, rows, tmp_path):
+    path = str(tmp_path / "docs")
+    months = source["documents"].withColumn("month", F.date_format(v.EMITTED, "yyyy-MM"))
+    tables.overwrite(months, path, ["dtdc_codigo", "month"])
+    warehouse = jobs.Warehouse(spark, month="month")
+    warehouse["documents"] = spark.read.parquet(path)
+    window = jobs.recent_invoices(warehouse, days=14)
+    assert rows(window) == rows(jobs.recent_invoices(source, days=14))
+    text = plan(window)
+    scans = re.findall(r"PartitionFilters: \[([^\]]*)\]", text)
+    assert scans and all("dtdc_codigo" in scan for scan in scans)
+    # the last month is looked up without reading a column, all else reads some months only
+    wide = [s for s, schema in zip(scans, re.findall(r"ReadSchema: struct<([^\n]*)>", text)) if schema]
+    assert wide and all("month" in scan for scan in wide)
+
+
+def test_cession_documents_keep_their_columns(spark, source):
+    extra = source["cession_documents"].withColumns({"monto": F.lit(5), "otro nombre": F.lit("x")})
+    extra.createOrReplaceTempView("some_cessions")
+    found = tables.table(spark, "cession_documents", "some_cessions")
+    assert found.columns == extra.columns
+    assert {"monto", "otro nombre"} < set(links.cession_link(tables.invoices(source["documents"]), found).columns)
+
+
 def test_catalog_tables(spark, source):
     source["units"].createOrReplaceTempView("some_units")
     assert tables.table(spark, "units", "some_units").columns == ["UNOP_UNIDAD", "UNOP_COD_REGIONAL"]

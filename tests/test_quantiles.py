@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -32,6 +33,14 @@ def test_hot_value_and_tiny_differences(spark):
     check(spark, list(0.5 + rng.random(5000) * 1e-9))
 
 
+def test_a_single_coarse_bin_is_split_again(spark):
+    values = np.random.default_rng(4).random(20_000) * 1e-6
+    check(spark, values)
+    df = spark.createDataFrame(pd.DataFrame({"x": values}))
+    got = qt.box_summary(df.withColumn("k", F.lit("p")), "x", ["k"]).first()
+    assert (got["rows"], got["median"]) == (20_000, pytest.approx(np.quantile(values, 0.5)))
+
+
 def test_groups_and_nulls(spark):
     rng = np.random.default_rng(2)
     frame = pd.DataFrame({"k": rng.choice(["p", "q", "r"], 3000), "x": rng.integers(0, 900, 3000).astype(float)})
