@@ -91,6 +91,29 @@ def test_many_copies_and_many_rows(spark):
     assert not chosen.duplicated(["id", "a", "tree"]).any()
 
 
+@pytest.mark.parametrize("equal", [True, False])
+def test_a_frequent_key_keeps_its_density(spark, equal):
+    """A third of the rows have one key, as copies or with values of their own."""
+    hot = F.col("id") % 3 == 0
+    value = F.lit(5.0) if equal else 5.0 + F.col("id") / 90000
+    df = spark.range(9000).select(
+        F.when(hot, 0).otherwise(F.col("id")).alias("id"),
+        F.when(hot, value).otherwise(F.sin(F.col("id").cast("double"))).alias("a"),
+    )
+    forest = iforest.fit(df, iforest.features(["a"]), ["id"], trees=20, psi=64, seed=1)
+    nodes = forest.nodes.toPandas().set_index(["tree", "node"])
+    apart = nodes[(nodes["threshold"] >= 1) & (nodes["threshold"] < 5)]  # frequent rows go right
+    held = [nodes.loc[(tree, right), "size"] for (tree, _), right in apart["right"].items()]
+    assert len(held) >= 18 and 0.28 < np.mean(held) / 64 < 0.39
+    chosen = iforest.row_samples(df, ["a"], ["id"], trees=20, psi=64, seed=1).toPandas()
+    assert (chosen.groupby("tree").size() == 64).all()
+    shares = (chosen["id"] == 0).groupby(chosen["tree"]).mean()
+    assert 0.28 < shares.mean() < 0.39 and shares.min() > 0.1 and shares.max() < 0.6
+    again = iforest.row_samples(df.repartition(7, "a"), ["a"], ["id"], trees=20, psi=64, seed=1).toPandas()
+    order = ["tree", "_place"]
+    assert chosen.sort_values(order)["a"].tolist() == again.sort_values(order)["a"].tolist()
+
+
 def test_few_rows_and_constant_columns(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 2.0), (3, 2.0)], "id int, a double")
     forest = iforest.fit(df, iforest.features(["a"]), ["id"], trees=4, psi=8)
