@@ -20,8 +20,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without boilerplate lines of their source; ``n_chars`` follows the text."""
-    left = lines.without_boilerplate(docs, "source", "text")
+    """The documents without boilerplate lines of their source; ``n_chars`` follows the text.
+
+    Equal texts count as one page: near dedup leaves one copy of a group, which must still have its lines.
+    """
+    left = lines.without_boilerplate(docs, "source", "text", distinct=True)
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

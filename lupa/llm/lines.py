@@ -7,7 +7,10 @@ has fewer than (lines per page) / ``RATIO`` such lines.
 Only DataFrame functions are used. Lines count once per page and by a 64-bit hash, so the counts that
 are shuffled are small and combined in the map tasks. Lines are what ``\\n`` separates; lines without a
 word are never dropped. A null host is a host of its own. Null texts stay null and count as pages; a
-text that loses all lines becomes empty. Repeated rows are pages of their own.
+text that loses all lines becomes empty, and its row stays. Repeated rows are pages of their own, so a
+group of copies with more than ``RATIO`` of its host makes its own lines boilerplate. With ``distinct``
+equal texts of a host are one page (null texts too), for numerator and denominator, and copies no longer
+remove their own content; texts that are near copies, but not equal, still count one by one.
 """
 
 from __future__ import annotations
@@ -25,21 +28,28 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = PAGES) -> DataFrame:
+def boilerplate(
+    pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = PAGES, distinct: bool = False
+) -> DataFrame:
     """Hashes of the boilerplate lines of each host: ``_host``, ``_dropped``."""
-    rows = pages.select(F.col(host).alias("_host"), F.col(text).alias("_text"))
+    held_lines = F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: x.rlike(_WORD)), lambda x: F.xxhash64(x)))
+    rows = pages.select(F.col(host).alias("_host"), F.col(text).alias("_text"), held_lines.alias("_lines"))
+    if distinct:  # equal texts have equal lines; copies meet as partial results, by a 128-bit digest
+        rows = rows.groupBy("_host", F.md5("_text").alias("_digest")).agg(F.any_value("_lines").alias("_lines"))
     total = rows.groupBy("_host").agg(F.count("*").alias("_pages"))
-    line = F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("_text")), lambda x: x.rlike(_WORD)), lambda x: F.xxhash64(x))))
+    line = F.explode("_lines")
     held = rows.select("_host", line.alias("_line")).groupBy("_host", "_line").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
     other = total.withColumnRenamed("_host", "_at")
     common = held.join(other, F.col("_host").eqNullSafe(F.col("_at"))).filter(F.col("_n") > ratio * F.col("_pages"))
     return common.groupBy("_host").agg(F.collect_list("_line").alias("_dropped"))
 
 
-def without_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = PAGES) -> DataFrame:
+def without_boilerplate(
+    pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = PAGES, distinct: bool = False
+) -> DataFrame:
     """All columns, with the text that is left in ``text``, and ``n_lines`` and ``n_dropped`` before and
     by the removal."""
-    marks = boilerplate(pages, host, text, ratio, least).withColumnsRenamed({"_host": "_boilerplate_host", "_dropped": "_boilerplate"})
+    marks = boilerplate(pages, host, text, ratio, least, distinct).withColumnsRenamed({"_host": "_boilerplate_host", "_dropped": "_boilerplate"})
     joined = pages.join(marks, F.col(host).eqNullSafe(F.col("_boilerplate_host")), "left")
     lines = _lines(F.col(text))
     left = F.filter(lines, lambda x: ~(x.rlike(_WORD) & F.array_contains("_boilerplate", F.xxhash64(x))))

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -238,6 +239,24 @@ def test_line_dedup(odd, none, documents, make_docs):
         assert sorted(map(repr, found)) == sorted(map(repr, expected))
 
 
+def test_copies_keep_one_text_in_the_pipeline(spark, make_docs, odd, none):
+    """Five copies in a source of 40 pages; the menu is in 30 other pages."""
+    clean = prose(50, 60) + "\n" + prose(51, 60)
+    rows = [(i, clean) for i in range(5)] + [(i, ("menu of all\n" if i < 35 else "") + prose(60 + i, 60)) for i in range(5, 40)]
+    docs = make_docs([(i, text, "s" if i % 2 or i < 5 else None) for i, text in rows] + [(90, None), (91, None)])
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert all(left[i] == clean for i in range(5)) and left[90] is None
+    assert all(left[i] == text.removeprefix("menu of all\n") for i, text in rows[5:])
+    kept = corpus_pipeline.near_dedup(spark, corpus_pipeline.line_dedup(spark, docs, ""), "").collect()
+    assert [r.doc_id for r in kept if r.text == clean] == [0] and not [r for r in kept if r.text == ""]
+    for docs in (odd, none, docs):
+        every, texts = docs.collect(), {(r.text, r.source) for r in docs.collect()}
+        expected = {t: x[1:] for t, x in zip(texts, plain_lines([(0, *t) for t in texts], 0.2, 2), strict=True)}
+        found = lines.without_boilerplate(docs, "source", "text", 0.2, 2, distinct=True).collect()
+        got = sorted(repr((r.doc_id, r.source, r.text, r.n_lines, r.n_dropped)) for r in found)
+        assert got == sorted(repr((r.doc_id, r.source, *expected[r.text, r.source])) for r in every)
+
+
 def plain_repeats(rows, k):
     first, words = {}, {}
     for place, (doc, text) in enumerate(rows):
