@@ -11,7 +11,7 @@ The items are what is searched for; they are sent to all tasks and may have ``MO
 all. Beyond that an error asks for the items in parts, whose ``spans`` can be merged.
 
 Words are runs of digits, ASCII letters in lower case and characters beyond ASCII. A window is
-``window`` consecutive words of an item, or all of a shorter one. Null and empty texts have no words.
+``window`` consecutive words of an item, or all of a shorter one. Shorter matches are not searched for. Null and empty texts have no words.
 """
 
 from __future__ import annotations
@@ -42,11 +42,10 @@ class Items:
         sizes = np.diff(words.first)
         item = np.repeat(np.arange(len(sizes)), sizes)
         place = np.arange(len(self.word)) - words.first[:-1][item]
-        # one entry for each suffix: its item, where it starts, how many words it has
-        self.item, self.begin, self.left = item, np.arange(len(self.word)), sizes[item] - place
+        # one entry for each suffix: its item, where it starts, how many words it has, its place in the item
+        self.item, self.begin, self.left, self.place = item, np.arange(len(self.word)), sizes[item] - place, place
         self.need = np.minimum(window, sizes[item])  # words of a window of this item
         self.shortest = int(self.need.min()) if len(item) else 0
-        self.longest = int(sizes.max()) if len(sizes) else 0
 
 
 def suffix_array(sequence: np.ndarray, depth: int) -> np.ndarray:
@@ -71,16 +70,16 @@ def suffix_array(sequence: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def search(sequence: np.ndarray, order: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each suffix of the items: words of its longest match, and the range in ``order`` of the
-    places where its window occurs (empty if it does not)."""
+def search(sequence: np.ndarray, order: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix of the items the range in ``order`` of the places where its window occurs (empty
+    if it does not)."""
     n = len(items.begin)
     low, high = np.zeros(n, np.int64), np.full(n, len(order), np.int64)
-    match, first, last = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    first, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
     padded = np.append(sequence, 0)
-    active = np.arange(n)
-    for depth in range(items.longest):
-        active = active[items.left[active] > depth]
+    active = np.flatnonzero(items.left >= items.need)
+    for depth in range(int(items.need.max()) if n else 0):
+        active = active[items.need[active] > depth]
         if not len(active):
             break
         wanted = items.word[items.begin[active] + depth]
@@ -88,10 +87,9 @@ def search(sequence: np.ndarray, order: np.ndarray, items: Items) -> tuple[np.nd
         b = _bound(padded, order, depth, a, high[active], wanted, True)
         low[active], high[active] = a, b
         active = active[a < b]
-        match[active] = depth + 1
         full = active[items.need[active] == depth + 1]
         first[full], last[full] = low[full], high[full]
-    return match, first, last
+    return first, last
 
 
 def _bound(padded, order, depth, low, high, wanted, after: bool) -> np.ndarray:
@@ -110,7 +108,7 @@ def _bound(padded, order, depth, low, high, wanted, after: bool) -> np.ndarray:
 
 def shard_hits(column, items: Items):
     """Words of each text, and every occurrence of a window: text, first word, number of words, item,
-    words of the longest match from there."""
+    first word in the item."""
     words = W.words_of(column, W.ascii_words_table())
     counts = np.diff(words.first)
     none = np.zeros(0, np.int64)
@@ -137,14 +135,26 @@ def shard_hits(column, items: Items):
     sequence[place] = number[source]
     word_at = np.zeros(len(sequence), np.int64)
     word_at[place] = source
-    order = suffix_array(sequence, items.longest)
-    match, first, last = search(sequence, order, items)
+    order = suffix_array(sequence, int(items.need.max()))
+    first, last = search(sequence, order, items)
     many = last - first
     suffix = np.repeat(np.arange(len(many)), many)
     inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
     word = word_at[order[np.repeat(first, many) + inner]]
     text = np.searchsorted(words.first, word, "right") - 1
-    return words, counts, (text, word - words.first[text], items.need[suffix], items.item[suffix], match[suffix])
+    return words, counts, (text, word - words.first[text], items.need[suffix], items.item[suffix], items.place[suffix])
+
+
+def longest_matches(text, place, size, item, begin) -> tuple[np.ndarray, ...]:
+    """The longest match around each occurrence, once each: text, item, first word in the text, first
+    word in the item, words. A match of w more words than a window has w + 1 occurrences, one word apart."""
+    by = np.lexsort((place, place - begin, item, text))
+    text, place, size, item, begin = (x[by] for x in (text, place, size, item, begin))
+    head = np.ones(len(text), bool)
+    head[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(place) != 1) | (np.diff(begin) != 1)
+    at = np.flatnonzero(head)
+    run = np.diff(np.append(at, len(text)))
+    return text[at], item[at], place[at], begin[at], size[at] + run - 1
 
 
 def _found(items_value):
@@ -152,20 +162,22 @@ def _found(items_value):
         items = items_value.value
         for whole in batches:
             for batch in W.text_batches(whole, "_text", _SHARD):
-                words, counts, (text, place, size, item, match) = shard_hits(batch.column("_text"), items)
+                words, counts, (text, place, size, item, begin) = shard_hits(batch.column("_text"), items)
                 edge = np.bincount(words.first[text] + place, minlength=len(words.start) + 1) - np.bincount(
                     words.first[text] + place + size, minlength=len(words.start) + 1
                 )
                 hit = np.cumsum(edge)[: len(words.start)] > 0
                 n_hit = np.bincount(words.text_of()[hit], minlength=len(counts))
                 names, longest = [[] for _ in counts], np.zeros(len(counts), np.int64)
-                np.maximum.at(longest, text, match)
+                matches = longest_matches(text, place, size, item, begin)
+                np.maximum.at(longest, matches[0], matches[-1])
                 for pair in np.unique(text * np.int64(len(items.names) or 1) + item).tolist():
                     names[pair // len(items.names)].append(items.names[pair % len(items.names)])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id"), pa.array(counts.astype(np.int64)), pa.array(n_hit.astype(np.int64)),
-                     pa.array(names, pa.list_(pa.string())), pa.array(longest), _spans(words, hit, len(counts))],
-                    ["_id", "n_words", "n_hit", "items", "longest", "spans"],
+                     pa.array(names, pa.list_(pa.string())), pa.array(longest), _spans(words, hit, len(counts)),
+                     _matches(matches, items, len(counts))],
+                    ["_id", "n_words", "n_hit", "items", "longest", "spans", "matches"],
                 )
 
     return run
@@ -187,6 +199,15 @@ def _spans(words: W.Words, hit: np.ndarray, texts: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds), values)
 
 
+def _matches(matches: tuple[np.ndarray, ...], items: Items, texts: int) -> pa.Array:
+    """The longest matches of each text, which come sorted by text."""
+    text, item, *numbers = matches
+    names = pa.array(items.names, pa.string()).take(pa.array(item))
+    values = pa.StructArray.from_arrays([names, *(pa.array(x.astype(np.int32)) for x in numbers)], ["item", "first", "item_first", "words"])
+    bounds = np.append(0, np.cumsum(np.bincount(text, minlength=texts))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), values)
+
+
 def items_of(benchmark: DataFrame, id: str = "item_id", text: str = "text", window: int = WINDOW, most_words: int = MOST_WORDS) -> Items:
     """The items on the driver, after a check of their size."""
     rows = benchmark.select(F.col(id).cast("string").alias("name"), F.col(text).alias("text"))
@@ -201,13 +222,16 @@ def find(documents: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: s
          item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document: ``id``, ``n_words``, ``n_hit`` (words in occurrences of windows), ``items``
     (names of the items, one for each row of the benchmark that occurs), ``longest`` (words of the
-    longest verbatim match of an occurrence), ``spans`` (first and last word of each run of hit words)."""
+    longest of its matches, 0 without), ``spans`` (first and last word of each run of hit words), ``matches``
+    (every longest verbatim match of at least a window: item, first word in the text, first word in the
+    item, words)."""
     items = documents.sparkSession.sparkContext.broadcast(items_of(benchmark, item_id, item_text, window))
     docs = documents.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
     kind = documents.schema[id].dataType.simpleString()
     return docs.mapInArrow(
         _found(items),
-        f"_id {kind}, n_words long, n_hit long, items array<string>, longest long, spans array<struct<first:int,last:int>>",
+        f"_id {kind}, n_words long, n_hit long, items array<string>, longest long, "
+        "spans array<struct<first:int,last:int>>, matches array<struct<item:string,first:int,item_first:int,words:int>>",
     ).withColumnRenamed("_id", id)
 
 

@@ -173,6 +173,39 @@ def test_decontamination(spark, documents, odd, none):
         assert kept.columns == docs.columns and kept.count() == sum(not x[2] for x in expected)
 
 
+def plain_matches(docs, items, window=10):
+    out = []
+    for doc, text in docs:
+        words, found = re.findall("[0-9a-zà-ÿ]+", (text or "").lower()), []
+        for name, item in items:
+            wanted = re.findall("[0-9a-zà-ÿ]+", (item or "").lower())
+            for i in range(len(words)):
+                for j in range(len(wanted)):
+                    n = 0
+                    while i + n < len(words) and j + n < len(wanted) and words[i + n] == wanted[j + n]:
+                        n += 1
+                    left = i and j and words[i - 1] == wanted[j - 1]
+                    if not left and n >= min(window, len(wanted)):
+                        found.append((str(name), i, j, n))
+        out.append((doc, max((x[3] for x in found), default=0), sorted(found)))
+    return out
+
+
+def test_longest_matches_do_not_depend_on_the_shard(spark, make_docs):
+    """Two texts of one shard share 10 and 30 words with one item; others share several places."""
+    item = prose(70, 40).split()
+    twice = item[5:20] + ["other"] + item[5:20]
+    rows = [(1, " ".join(["x", *item[:10], "y"])), (2, " ".join(["x", *item[:30], "y"])), (3, " ".join(twice)),
+            (4, " ".join(item[:9])), (5, "a b a b a b"), (6, None), (7, " ".join(item + item))]
+    items = [(800, " ".join(item)), (801, "a b a"), (802, " ".join(twice)), (803, None)]
+    docs, benchmark = make_docs(rows).coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    whole = {r.doc_id: (r.longest, sorted(map(tuple, r.matches))) for r in leaks.find(docs, benchmark).collect()}
+    assert [(i, *whole[i]) for i, _ in rows] == plain_matches(rows, items)
+    assert whole[1][0] == 10 and whole[2][0] == 30 and whole[4][0] == 0
+    apart = leaks.find(docs.repartition(7, "doc_id"), benchmark).collect()
+    assert {r.doc_id: (r.longest, sorted(map(tuple, r.matches))) for r in apart} == whole
+
+
 # -- 5 ------------------------------------------------------------------------
 
 
