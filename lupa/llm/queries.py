@@ -8,11 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lupa.llm import edit_counts, leaks, lines, long_bpe, near_dups, quality, substring, token_files, toxicity, warc
+from lupa.llm import (
+    edit_counts, infill, leaks, lines, long_bpe, near_dups, quality, substring, token_files, toxicity, urls, warc, whitening,
+)
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 END = 1
+RULES = (
+    urls.Rule("block", "net/"), urls.Rule("allow", "example.net/en/"), urls.Rule("block", "example.com/de/"), urls.Rule("allow", "org/fr/"),
+)
+#: Words that mark the examples of ``block``; there are no labelled pages.
+SEEDS = (
+    "ads", "adult", "bet", "bets", "betting", "casino", "escort", "gambling", "loan", "loans", "lottery", "pharma", "pills", "poker",
+    "porn", "sex", "slots", "spam", "viagra", "xxx",
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,11 +109,33 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.payload_sizes(warc.read(spark, folder))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict for the URL of every page."""
+    pages = _table(spark, sf_dir, "pages")
+    words = urls.words_model(urls.word_counts(pages), SEEDS)
+    model = urls.fit(pages, words, urls.weak_label(SEEDS))
+    return urls.judge(pages, model, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every embedding."""
+    return whitening.components(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored in frames, transformed, and rebuilt from the transformed texts."""
+    folder = token_files.new_folder(spark, "infill")
+    infill.store(_table(spark, sf_dir, "documents"), f"{folder}/texts")
+    infill.transform(spark, f"{folder}/texts", f"{folder}/transformed")
+    return infill.read(spark, f"{folder}/transformed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_token_files, op3_bpe_tree, op4_decontamination, op5_quality_rules, op6_line_dedup,
-        op7_substring_dedup, op8_toxicity, op9_edit_counts, op10_warc,
+        op7_substring_dedup, op8_toxicity, op9_edit_counts, op10_warc, op11_url_filters, op12_embedding_whitening,
+        op13_fill_in_middle,
     )
 }
 
@@ -128,4 +160,17 @@ SELECT page_id, payload_bytes, d.payload_digest,
        CASE WHEN held IS NOT NULL AND page_id IS DISTINCT FROM held THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id IS DISTINCT FROM held THEN held END AS refers_to
 FROM d LEFT JOIN h ON payload_bytes >= 1000 AND d.payload_digest = h.payload_digest""",
+    "op13_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+                  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+g AS (SELECT doc_id, t, n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS y,
+             CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS v, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS w FROM d),
+f AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR v >= 90 THEN 'plain'
+                  WHEN w < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p""",
 }
