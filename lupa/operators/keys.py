@@ -14,6 +14,11 @@ HOT_SHARE = 0.002
 HOT_SPLITS = 64
 # Rows of a hot key that share a sub-key, about.
 SPLIT_ROWS = 1_000_000
+# Keys that a sketch follows and keys it returns. Its error is at most 3.5 / TRACKED of the rows, so every key
+# above the share is among the returned ones, with room to spare.
+TRACKED = 16384
+RETURNED = 1024
+SKETCHES = 64
 
 
 def with_prefix(df: DataFrame, prefix: str) -> DataFrame:
@@ -52,12 +57,12 @@ def latest_one(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> Da
 def unique_keys(df: DataFrame, key: str) -> DataFrame:
     """Rows whose key value occurs exactly once; null keys go.
 
-    Rows of hot keys cannot be unique and are dropped before anything is shuffled.
+    Keys are counted with partial counts in the map tasks, and rows of hot keys, which are none of those, are
+    spread while the others find theirs.
     """
     known = df.where(F.col(key).isNotNull())
-    hot = hot_keys(known, [key], least=2)
-    once = known.groupBy(key).count().where("count = 1").select(key)
-    return known.join(F.broadcast(hot), key, "left_anti").join(once, key, "left_semi")
+    once = known.groupBy(F.col(key).alias("_once")).count().where("count = 1").select("_once")
+    return spread_left_join(known, once, [(key, "_once")], how="left_semi")
 
 
 def spread_left_join(
@@ -123,11 +128,26 @@ def hot_keys(
     return _counted_hot(df, keys, share, least).select(*keys)
 
 
+def _candidates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hashes ``_code`` of the most frequent keys, fewer than ``RETURNED``, and the number of rows ``_all``.
+
+    A sketch of frequent items for each task, merged in two steps; keys themselves are not shuffled.
+    """
+    parts = df.select(F.xxhash64(*keys).alias("_code"), F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("_part"))
+    sketches = parts.groupBy("_part").agg(F.expr(f"approx_top_k_accumulate(_code, {TRACKED})").alias("_sketch"), F.count("*").alias("_rows"))
+    # by a group, as tasks without rows would pass on sketches that can't be merged
+    whole = sketches.groupBy(F.col("_part") < 0).agg(F.expr(f"approx_top_k_combine(_sketch, {TRACKED})").alias("_sketch"), F.sum("_rows").alias("_all"))
+    found = whole.select("_all", F.explode(F.expr(f"approx_top_k_estimate(_sketch, {RETURNED})")).alias("_item"))
+    return found.select(F.col("_item.item").alias("_code"), "_all")
+
+
 def _counted_hot(df: DataFrame, keys: Sequence[str], share: float, least: int) -> DataFrame:
-    counts = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).groupBy(*keys).agg(F.count("*").alias("_rows"))
-    total = counts.agg(F.sum("_rows")).scalar()
-    hot = counts.where(F.col("_rows") > total * share)
-    return hot.where(F.col("_rows") >= least) if least > 1 else hot
+    """Hot keys with their exact number of rows: a sketch names the candidates, then only those are counted."""
+    known = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).select(*keys)
+    near = known.join(F.broadcast(_candidates(known, keys)), F.xxhash64(*keys) == F.col("_code"))
+    counts = near.groupBy(*keys).agg(F.count("*").alias("_rows"), F.max("_all").alias("_all"))
+    hot = counts.where((F.col("_rows") > F.col("_all") * share) & (F.col("_rows") >= least))
+    return hot.select(*keys, "_rows")
 
 
 def _marked_hot(df: DataFrame, keys: Sequence[str], splits: int) -> DataFrame:
