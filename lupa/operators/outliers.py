@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocab as v
 from ..functions import columns as c
 from .profiling import ISSUER_SEGMENT, ISSUER_SUBSECTOR, top_by
-from .quantiles import quantiles, quantiles_of_counts, value_counts_of
+from .quantiles import quantiles, values_of
 
 HAS_ALERT = "con_alerta"
 
@@ -22,13 +22,12 @@ def segment_p90(documents: DataFrame, value: str = v.AMOUNT) -> DataFrame:
 
     Only the five known segments have a limit, which bounds the broadcast.
     """
-    counts = value_counts_of(_known_segments(documents), value, [ISSUER_SEGMENT])
-    limit = quantiles_of_counts(counts, {"percentil_90": 0.9}, [ISSUER_SEGMENT])
-    above = F.sum(F.when(F.col("v") > F.col("percentil_90"), F.col("n")).otherwise(0))
+    values = values_of(_known_segments(documents), value, [ISSUER_SEGMENT])
+    limit = quantiles(_known_segments(documents), value, {"percentil_90": 0.9}, [ISSUER_SEGMENT]).drop("rows")
     return (
-        counts.join(F.broadcast(limit), ISSUER_SEGMENT)
+        values.join(F.broadcast(limit), ISSUER_SEGMENT)
         .groupBy(ISSUER_SEGMENT, "percentil_90")
-        .agg(above.cast("long").alias("n_outliers"))
+        .agg(F.count_if(F.col("v") > F.col("percentil_90")).alias("n_outliers"))
     )
 
 
