@@ -596,9 +596,10 @@ def feature_totals(src):
 
 def _forest(src):
     def build():
-        encoded, encoder = _encoded(src)
+        _, encoder = _encoded(src)
         features = iforest.features([*v.NUMERIC, *v.PASS_THROUGH], encoder.slots)
-        return iforest.fit(encoded, features, MODEL_KEY)
+        docs = prep.imputed(enriched(src)).select(*dict.fromkeys([*MODEL_KEY, *v.NUMERIC, *v.CATEGORIES]))
+        return iforest.fit(docs, features, MODEL_KEY, prepare=encoder.transform)
 
     return handed_over(src, "forest", build)
 
@@ -636,9 +637,9 @@ def _surrogate(src):
 
     def build():
         _, encoder = _encoded(src)
-        rows = prep.assemble(encoder.transform(_flagged(src)), encoder)
+        rows = prep.entries(encoder.transform(_flagged(src)), encoder)
         train, test = sampling.split(rows, key=MODEL_KEY)
-        model = surrogate.fit(train, prep.feature_names(encoder), arrange_by=[*MODEL_KEY, "score"])
+        model = surrogate.fit(train, lambda slots: prep.names_of(encoder, slots))
         weighted = surrogate.predict(surrogate.with_weights(train), model)
         return model, weighted, stage(surrogate.predict(test, model).drop("features"), "predicted")
 

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab as v
+from ..operators.keys import spread_left_join
+from ..session import stage
+
+# Levels of a column that are sent to all tasks; more of them are joined.
+MOST_SENT = 200_000
 
 
 def fill_alerts(df: DataFrame, columns: Sequence[str] = v.MODEL_ALERTS) -> DataFrame:
@@ -47,68 +49,90 @@ def levels(df: DataFrame, columns: Sequence[str] = v.TEXT) -> DataFrame:
 class Encoder:
     """Fitted one-hot encoding; the alphabetically first level of each column has no slot.
 
-    A column with a single level therefore has none at all and is left out.
+    ``table`` holds ``column``, ``level`` and ``rank``, 0 for the alphabetically last level: it may have any number
+    of levels. ``sizes`` has the number of levels per column. A column with a single level has no slot and is left out.
     """
 
-    labels: dict[str, list[str]]
-    model: PipelineModel
+    table: DataFrame
+    sizes: dict[str, int]
 
     @property
     def columns(self) -> list[str]:
-        return list(self.labels)
+        return list(self.sizes)
+
+    @property
+    def labels(self) -> dict[str, list[str]]:
+        """All levels by rank, for columns with few of them."""
+        found = {col: [] for col in self.sizes}
+        for row in self.table.where(F.col("column").isin(self.columns)).orderBy("column", "rank").collect():
+            found[row["column"]].append(row["level"])
+        return found
 
     @property
     def names(self) -> list[str]:
+        """Names of all slots, for columns with few levels."""
         return [f"{col}_{level}" for col, levels in self.labels.items() for level in levels[:-1]]
 
+    def names_of(self, slots: Sequence[int]) -> dict[int, str]:
+        """Names of some slots, counted over all columns."""
+        first, wanted = 0, []
+        for col, size in self.sizes.items():
+            wanted += [(slot, col, slot - first) for slot in slots if first <= slot < first + size - 1]
+            first += size - 1
+        if not wanted:
+            return {}
+        few = self.table.sparkSession.createDataFrame(wanted, "slot int, column string, rank long")
+        found = self.table.join(F.broadcast(few), ["column", "rank"]).select("slot", "column", "level").collect()
+        return {row["slot"]: f"{row['column']}_{row['level']}" for row in found}
+
     @property
     def slots(self) -> dict[str, int]:
         """Slots per ``<column>_index``."""
-        return {f"{col}_index": len(levels) - 1 for col, levels in self.labels.items()}
+        return {f"{col}_index": size - 1 for col, size in self.sizes.items()}
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Add ``<column>_index`` and ``<column>_onehot``; levels not seen in fitting become all 0."""
-        seen = {
-            f"{col}_seen": F.when(F.col(col).isin(levels), F.col(col)).otherwise(levels[-1])
-            for col, levels in self.labels.items()
-        }
-        return self.model.transform(df.withColumns(seen)).drop(*seen)
+        """Add ``<column>_index``, the rank of the level; one not seen in fitting gets that of the first level, no slot.
+
+        The levels of a column are joined, sent to all tasks if they are few, else with hot levels spread.
+        """
+        result = df
+        for col, size in self.sizes.items():
+            ranks = self.table.where(F.col("column") == col).select(F.col("level").alias("_level"), F.col("rank").alias("_rank"))
+            if size <= MOST_SENT:
+                joined = result.join(F.broadcast(ranks), F.col(col) == F.col("_level"), "left")
+            else:
+                joined = spread_left_join(result, ranks, [(col, "_level")], counted=df)
+            index = F.coalesce("_rank", F.lit(size - 1)).cast("double")
+            result = joined.withColumn(f"{col}_index", index).drop("_level", "_rank")
+        return result
 
 
 def fit_encoder(df: DataFrame, columns: Sequence[str] = v.TEXT) -> Encoder:
-    found = StringIndexer(
-        inputCols=list(columns), outputCols=[f"{col}_index" for col in columns],
-        stringOrderType="alphabetDesc",
-    ).fit(df.select(*columns))
-    labels = {col: list(a) for col, a in zip(columns, found.labelsArray) if len(a) > 1}
-    indexers = PipelineModel([
-        StringIndexerModel.from_labels(levels, inputCol=f"{col}_seen", outputCol=f"{col}_index")
-        for col, levels in labels.items()
-    ])
-    onehot = OneHotEncoder(
-        inputCols=[f"{col}_index" for col in labels], outputCols=[f"{col}_onehot" for col in labels],
-        dropLast=True,
+    """Levels ranked without gathering them: sorted over ranges, each range numbered by itself, and moved
+    on by the number of levels of its column in the ranges before."""
+    found = levels(df, columns).where(F.col("level").isNotNull())
+    order = ["column", F.desc("level")]
+    ranged = found.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage(ranged.withColumn("_place", F.monotonically_increasing_id()), "levels").withColumn("_range", F.shiftright("_place", 33))
+    ranges = placed.groupBy("column", "_range").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    before = Window.partitionBy("column").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("column", "_range", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = placed.join(offsets, ["column", "_range"]).select(
+        "column", "level", (F.col("_place") - F.col("_first") + F.col("_before")).alias("rank")
     )
-    # the index columns carry their number of levels, so no row is read here
-    sized = indexers.transform(df.select(*(F.col(col).alias(f"{col}_seen") for col in labels)).limit(0))
-    return Encoder(labels, PipelineModel([indexers, onehot.fit(sized)]))
+    table = stage(ranked, "ranks")
+    sizes = {row["column"]: row["count"] for row in table.groupBy("column").count().collect()}
+    return Encoder(table, {col: sizes[col] for col in columns if sizes.get(col, 0) > 1})
 
 
 def level_totals(encoded: DataFrame, encoder: Encoder) -> DataFrame:
-    """Documents per one-hot slot, as (column, level, total)."""
-    sums = encoded.agg(*(Summarizer.sum(F.col(f"{col}_onehot")).alias(col) for col in encoder.columns))
-
-    def slots(col, levels):
-        names = F.array(*(F.lit(name) for name in levels))
-        return F.transform(
-            vector_to_array(F.col(col)),
-            lambda x, i: F.struct(
-                F.lit(col).alias("column"), F.element_at(names, i + 1).alias("level"),
-                x.cast("long").alias("total"),
-            ),
-        )
-
-    return sums.select(F.inline(F.concat(*(slots(col, ls) for col, ls in encoder.labels.items()))))
+    """Documents per one-hot slot, as (column, level, total); also of levels that no document has."""
+    index = [F.col(f"{col}_index").cast("long").alias(col) for col in encoder.columns]
+    tall = encoded.select(*index).unpivot([], encoder.columns, "column", "rank")
+    counts = tall.groupBy("column", "rank").agg(F.count("*").alias("_total"))
+    sizes = F.create_map(*(F.lit(x) for pair in encoder.sizes.items() for x in pair))
+    kept = encoder.table.where(F.col("rank") < F.coalesce(F.get(F.array(sizes), F.lit(0))[F.col("column")], F.lit(0)) - 1)
+    return kept.join(counts, ["column", "rank"], "left").select("column", "level", F.coalesce("_total", F.lit(0)).alias("total"))
 
 
 # -- scaling -----------------------------------------------------------------
@@ -153,7 +177,48 @@ def feature_names(encoder: Encoder) -> list[str]:
     return [*v.NUMERIC, *v.PASS_THROUGH, *encoder.names]
 
 
+def names_of(encoder: Encoder, slots: Sequence[int]) -> dict[int, str]:
+    """Names of some slots of the assembled vector."""
+    plain = [*v.NUMERIC, *v.PASS_THROUGH]
+    found = encoder.names_of([slot - len(plain) for slot in slots])
+    return {slot: plain[slot] if slot < len(plain) else found[slot - len(plain)] for slot in slots}
+
+
 def assemble(encoded: DataFrame, encoder: Encoder, output: str = "features") -> DataFrame:
-    """One sparse vector per document; the identifying columns stay beside it."""
-    inputs = [*v.NUMERIC, *v.PASS_THROUGH, *(f"{col}_onehot" for col in encoder.columns)]
-    return VectorAssembler(inputCols=inputs, outputCol=output).transform(encoded)
+    """One sparse vector per document; the identifying columns stay beside it.
+
+    For Spark ML's estimators, which keep an attribute for every slot: with very many levels take ``entries``.
+    """
+    index = {
+        f"{col}_index": F.col(f"{col}_index").alias(f"{col}_index", metadata={"ml_attr": {"type": "nominal", "num_vals": size}})
+        for col, size in encoder.sizes.items()
+    }
+    sized = encoded.withColumns(index)
+    onehot = [f"{col}_onehot" for col in encoder.columns]
+    if onehot:
+        encoding = OneHotEncoder(inputCols=list(index), outputCols=onehot, dropLast=True)
+        # the index columns carry their number of levels, so no row is read here
+        sized = encoding.fit(sized.select(*index).limit(0)).transform(sized)
+    vector = VectorAssembler(inputCols=[*v.NUMERIC, *v.PASS_THROUGH, *onehot], outputCol=output).transform(sized)
+    return vector.drop(*onehot)
+
+
+def entries(encoded: DataFrame, encoder: Encoder, output: str = "features") -> DataFrame:
+    """The assembled vector as a struct of its parts, without attributes, for any number of levels.
+
+    It has the fields of a sparse vector: ``type`` 0, ``size``, ``indices`` and ``values``, of which some may be 0: all
+    plain columns, and the slot of the level of each encoded one.
+    """
+    plain = [*v.NUMERIC, *v.PASS_THROUGH]
+    indices = [F.lit(i) for i in range(len(plain))]
+    values = [F.coalesce(F.col(name).cast("double"), F.lit(0.0)) for name in plain]
+    first = len(plain)
+    for col, size in encoder.sizes.items():
+        index = F.col(f"{col}_index").cast("int")
+        indices.append(index + first)
+        values.append(F.when(index < size - 1, 1.0).otherwise(0.0))
+        first += size - 1
+    parts = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(first).alias("size"), F.array(*indices).alias("indices"), F.array(*values).alias("values")
+    )
+    return encoded.withColumn(output, parts)

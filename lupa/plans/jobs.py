@@ -103,10 +103,13 @@ def sample_job(source: Mapping[str, DataFrame], store: Store, months: int = 3) -
 
 
 def enrich_job(store: Store) -> tuple[DataFrame, DataFrame]:
-    """Profiles of both parties attached to the sample; ``recent_job`` did so for the recent invoices."""
-    profile = store.read(PROFILE)
-    sample = store.write(enrich.enriched_sample(store.read(SAMPLE), profile), ENRICHED_SAMPLE)
-    return sample, store.read(ENRICHED)
+    """Profiles of both parties attached to the sample; ``recent_job`` did so for the recent invoices.
+
+    The stored sample also keeps what tells a document apart, which its predictions are tracked by.
+    """
+    whole = enrich.parties(store.read(SAMPLE), store.read(PROFILE))
+    sample = store.write(whole.select(*dict.fromkeys([*v.ENRICHED_SAMPLE, *v.MODEL_KEY])), ENRICHED_SAMPLE)
+    return sample.select(*v.ENRICHED_SAMPLE), store.read(ENRICHED)
 
 
 def links_job(source: Mapping[str, DataFrame], store: Store, days: int = 14) -> None:
@@ -161,18 +164,18 @@ def model_job(store: Store, run_id: str, contamination: float = 0.1, seed: int =
     docs = session.stage(prep.imputed(store.read(ENRICHED_SAMPLE)), "imputed")
     encoder = prep.fit_encoder(docs)
     encoded = encoder.transform(docs)
-    key = ["dhdr_folio", v.AMOUNT]
-    forest = iforest.fit(encoded, iforest.features([*v.NUMERIC, *v.PASS_THROUGH], encoder.slots), key, seed=seed)
+    key = list(v.MODEL_KEY)
+    narrow = docs.select(*dict.fromkeys([*key, *v.NUMERIC, *v.CATEGORIES]))
+    features = iforest.features([*v.NUMERIC, *v.PASS_THROUGH], encoder.slots)
+    forest = iforest.fit(narrow, features, key, seed=seed, prepare=encoder.transform)
     scored = session.stage(iforest.score(encoded, forest).select(*docs.columns, "score"), "scored")
     limit = iforest.threshold(scored, contamination)
     flagged = store.write(iforest.flag(scored, limit), "modelo/anomalias")
     store.write(forest.nodes, "modelo/nodos")
-    rows = prep.assemble(encoder.transform(flagged), encoder)
+    rows = prep.entries(encoder.transform(flagged), encoder)
     train, test = sampling.split(rows, seed=seed, key=key)
-    tree = surrogate.fit(train, prep.feature_names(encoder), seed=seed, arrange_by=[*key, "score"])
-    predicted = surrogate.predict(test, tree).select(
-        "dhdr_folio", v.AMOUNT, "outliers", "predicted", "outlier_probability", "leaf"
-    )
+    tree = surrogate.fit(train, lambda slots: prep.names_of(encoder, slots))
+    predicted = surrogate.predict(test, tree).select(*key, "outliers", "predicted", "outlier_probability", "leaf")
     predicted = store.write(predicted, "modelo/prediccion")
     store.write(surrogate.rules(tree, docs), "modelo/reglas")
     store.write(surrogate.leaf_quality(predicted), "modelo/hojas")

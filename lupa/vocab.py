@@ -146,3 +146,5 @@ PASS_THROUGH = tuple(name for name in CATEGORIES if name not in TEXT)
 
 ENRICHED_SAMPLE = (*NUMERIC, *CATEGORIES_STORED, "dhdr_folio")
 ENRICHED_FULL = (*ENRICHED_SAMPLE, *(f"{role}{key}" for role in (ISSUER, RECEIVER) for key in (RUT, DV)))
+# folios are numbered by issuer and document type
+MODEL_KEY = ("dtdc_codigo", *DOCUMENT_KEY, AMOUNT)
