@@ -29,13 +29,18 @@ def predict(
     first = F.col("_block") * COPIES + 1
     copies = F.sequence(first, F.least(first + (COPIES - 1), F.col("_n")))
     rows = counted.withColumn("_block", F.explode(blocks)).withColumn("_copy", F.explode(copies))
-    parts = [F.coalesce(F.col(name).cast("string"), F.lit("")) for name in (*key, "prediction", "_copy")]
+    parts = [_marked(F.col(name).cast("string")) for name in (*key, "prediction", "_copy")]
     return rows.select(
-        F.sha2(F.concat_ws(":", *parts, F.lit(run_id)), 256).alias("uuid"), *key, "prediction",
+        F.sha2(F.concat(*parts, _marked(F.lit(run_id))), 256).alias("uuid"), *key, "prediction",
         predicted_at.alias("predicted_at"), F.lit(run_id).alias("run_id"),
     )
 
 
+def _marked(text: Column) -> Column:
+    """A text behind its length, and a mark for null, so that different keys never read the same."""
+    return F.when(text.isNull(), "-").otherwise(F.concat(F.char_length(text).cast("string"), F.lit(":"), text))
+
+
 def read(predictions: DataFrame, start: Column, end: Column, time: str = "predicted_at") -> DataFrame:
     """Predictions made between two times, both included."""
     return predictions.where((F.col(time) >= start) & (F.col(time) <= end))
