@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -25,7 +26,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "16g")
+        .config("spark.ui.enabled", "false").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lupa-")).config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", str(2 * int(cpus))).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

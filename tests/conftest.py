@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -16,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     session = (
         SparkSession.builder.master("local[8]").appName("tests")
-        .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
+        .config("spark.ui.enabled", "false").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lupa-")).config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.maxMetadataStringLength", "10000")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").getOrCreate()
     )
