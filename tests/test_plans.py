@@ -9,8 +9,10 @@ from checks.queries import QUERIES
 from lupa import schemas
 from lupa import session
 from lupa import vocab as v
+from lupa.ml import iforest
 from lupa.operators import documents as d
 from lupa.operators import links
+from lupa.operators import keys
 from lupa.operators import quantiles as qt
 from lupa.plans import jobs
 from lupa.sources import tables
@@ -48,14 +50,63 @@ def test_month_partitions_are_pruned(spark, source, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*month#\d+ >= .*ubquery", plan(window))
 
 
-def test_quantiles_scan_and_shuffle_the_values_once(spark, source, tmp_path):
+def below(lines, i):
+    """The lines of a plan's tree under line ``i``."""
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    end = next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(lines[i])), len(lines))
+    return lines[i + 1 : end]
+
+
+def shuffles_rows_of(text, path):
+    """Whether an exchange gets rows of the files at ``path`` that no aggregate has counted before."""
+    lines = text.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange" in line and "ReusedExchange" not in line:
+            tree = below(lines, i)
+            scan = next((j for j, x in enumerate(tree) if "FileScan" in x and path in x), None)
+            if scan is not None and not any("HashAggregate" in x for x in tree[:scan]):
+                return True
+    return False
+
+
+def test_quantiles_shuffle_counts_and_no_values(spark, source, tmp_path, monkeypatch):
     path = str(tmp_path / "docs")
     tables.overwrite(source["documents"], path)
     docs = spark.read.parquet(path).withColumnRenamed("dhdr_rut_emisor", "k")
-    for df in (qt.quantiles(docs, v.AMOUNT, {"m": 0.5}, ["k"]), qt.box_summary(docs, v.AMOUNT, ["k"])):
-        df.collect()
-        final = plan(df).split("== Initial Plan ==")[0]
-        assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
+    assert shuffles_rows_of(plan(docs.repartition(3)), path) and not shuffles_rows_of(plan(docs.groupBy("k").count()), path)
+    seen, stage = [], qt.stage
+    monkeypatch.setattr(qt, "stage", lambda df, name: seen.append(df) or stage(df, name))
+    for keys in ([], ["k"]):
+        seen.append(qt.quantiles(docs, v.AMOUNT, {"m": 0.5}, keys))
+    seen.append(qt.box_summary(docs, v.AMOUNT, ["k"]))
+    assert len(seen) > 6
+    assert not any(shuffles_rows_of(plan(df), path) for df in seen)
+
+
+def test_forest_samples_shuffle_digests_only(spark, source, tmp_path, monkeypatch):
+    path = str(tmp_path / "docs")
+    tables.overwrite(source["documents"], path)
+    docs = spark.read.parquet(path)
+    seen, stage = [], iforest.stage
+    monkeypatch.setattr(iforest, "stage", lambda df, name: seen.append(df) or stage(df, name))
+    seen.append(iforest.row_samples(docs, [v.AMOUNT, v.VAT], ["dhdr_folio"], trees=3, psi=16, seed=1))
+    for df in seen:
+        lines = plan(df).splitlines()
+        for i, line in enumerate(lines):
+            if "Exchange hashpartitioning" in line:
+                tree = below(lines, i)
+                of_all = [x for x in tree if "FileScan" in x and path in x]
+                chosen = any("BroadcastHashJoin" in x and "LeftSemi" in x for x in tree)
+                assert not of_all or chosen or (v.AMOUNT not in tree[0] and "_d1" in tree[0])
+
+
+def test_hot_keys_are_found_without_shuffling_keys(spark, source, tmp_path):
+    path = str(tmp_path / "docs")
+    tables.overwrite(source["documents"], path)
+    found = keys.hot_keys(spark.read.parquet(path), ["dhdr_folio", "dhdr_rut_emisor"])
+    for i, line in enumerate(lines := plan(found).splitlines()):
+        if "Exchange hashpartitioning(dhdr_folio" in line:
+            assert any("BroadcastHashJoin" in x for x in below(lines, i))
 
 
 def test_no_python_and_no_cartesian_product_outside_the_model(spark, source):
