@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -206,6 +207,39 @@ def test_longest_matches_do_not_depend_on_the_shard(spark, make_docs):
     assert {r.doc_id: (r.longest, sorted(map(tuple, r.matches))) for r in apart} == whole
 
 
+def test_repetitive_texts_make_no_pairs():
+    """800 equal words in an item, 80,000 in a text: 63 million pairs of places, 80,781 longest matches."""
+    items = leaks.Items(["i", "j"], ["a " * 800, "b a b"], 10)
+    tracemalloc.start()
+    shard = leaks.shard_of(pa.array(["a " * 80_000, "b", "a b a b a b"]), items)
+    hit, matches, pairs = leaks.hit_words(shard), leaks.longest_matches(shard, items), leaks.items_in_texts(shard, items)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
+    assert hit[:80_000].all() and not hit[80_000] and hit[80_002:].sum() == 5
+    assert len(matches[0]) == 80_781 + 2 and matches[-1].max() == 800 and (matches[-1][:-2] >= 10).all()
+    assert [x.tolist() for x in pairs] == [[0, 2], [0, 1]]
+
+
+def test_periodic_texts_against_all_matches(spark, make_docs):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(["a", "b"], rng.integers(1, 60)))) for i in range(25)] + [(90, "a b " * 30), (91, "a " * 50)]
+    items = [(str(i), " ".join(rng.choice(["a", "b"], rng.integers(1, 30)))) for i in range(12)] + [("x", "b a " * 12), ("x", "b a " * 12)]
+    docs, benchmark = make_docs(rows).coalesce(2), spark.createDataFrame(items, "item_id string, text string")
+    found = {r.doc_id: (r.longest, sorted(map(tuple, r.matches))) for r in leaks.find(docs, benchmark, window=4).collect()}
+    assert [(i, *found[i]) for i, _ in rows] == plain_matches(rows, items, 4)
+
+
+def test_a_benchmark_in_parts(spark, documents, odd):
+    more = [(900, "one two"), (901, None), (902, ""), (903, "W1-w1"), (904, prose(1, 30)), (905, prose(1, 12)), (906, prose(4, 40))]
+    benchmark = spark.createDataFrame(more, "item_id long, text string").repartition(3)
+    for docs in (odd, documents):
+        whole, parts = (leaks.find(docs, benchmark, most_words=m) for m in (leaks.MOST_WORDS, 20))
+        shown = [sorted(repr((r.doc_id, r.n_words, r.n_hit, sorted(r["items"]), r.longest, r.spans, sorted(r.matches))) for r in x.collect()) for x in (whole, parts)]
+        assert shown[0] == shown[1]
+        assert leaks.decontaminated(docs, benchmark, most_words=20).count() == leaks.decontaminated(docs, benchmark).count()
+
+
 # -- 5 ------------------------------------------------------------------------
 
 
