@@ -43,6 +43,8 @@ COMPONENTS = 4
 
 _SPECTRUM = "part int, n long, sums array<decimal(38,0)>, mean array<double>, values array<double>, vectors array<double>"
 _EXACT = 1 << 62
+_TASK = 4096  # vectors of a task that updates a spectrum, a millisecond each
+_MOST_TASKS = 50_000
 _SLICE = 4096  # vectors multiplied at once
 
 
@@ -182,7 +184,8 @@ def fit(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", compo
     if most is None:
         return None
     fit_list = distinct.filter(F.size("_x") == most["_length"])
-    found = spectrum_of(fit_list).first()
+    tasks = min(_MOST_TASKS, -(-most["count"] // _TASK))
+    found = spectrum_of(fit_list.repartition(tasks, F.xxhash64("_x"))).first()
     n, sums = found["n"], tuple(int(s) for s in found["sums"])
     # rounding may have turned the eigenvectors by some units in the last place
     basis, _ = np.linalg.qr(np.array(found["vectors"]).reshape(len(sums), len(sums)))
