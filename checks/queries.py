@@ -71,6 +71,8 @@ def steadied(df: DataFrame, names, digits: int = 2) -> DataFrame:
 
 MODEL_KEY = ("dhdr_folio", f"{v.ISSUER}{v.RUT}", f"{v.RECEIVER}{v.RUT}", v.AMOUNT)
 STATS = (*v.stat_columns(v.ISSUER), *v.stat_columns(v.RECEIVER))
+TREE_DEPTH = 3
+TREE_PLAIN = tuple(c for c in (*v.NUMERIC, *v.PASS_THROUGH) if c not in (v.AMOUNT, v.VAT, *STATS))
 def invoices(src: Source) -> DataFrame:
     return tables.invoices(src["documents"])
 
@@ -125,6 +127,14 @@ def parquet_hand_over(src):
     )
 
 
+@query
+def invoices_last_14_days_by_month(src):
+    """The window of a table that is partitioned by month, as the jobs read it."""
+    path = f"{staging(src)}/by-month"
+    tables.overwrite(invoices(src).withColumn("month", F.date_format(v.EMITTED, "yyyy-MM")), path, ["month"])
+    return documents.recent(tables.parquet(src.spark, path), days=14, month_partition="month").drop("month")
+
+
 def staging(src: Source) -> str:
     return f"{application_dir(src.spark)}/{uuid.uuid4().hex}"
 
@@ -201,6 +211,13 @@ def profile_all_rows(src):
     return taxpayers.merge_profile(**taxpayers.profile_sources(src))
 
 
+@query
+def unambiguous_profile(src):
+    """The profile from the merged rows, for those who keep these."""
+    rows = stage(taxpayers.merge_profile(**taxpayers.profile_sources(src)), "merged")
+    return taxpayers.unambiguous(rows)
+
+
 @query
 def taxpayer_profile(src):
     return taxpayers.profile(src)
@@ -314,6 +331,17 @@ def _sample(src):
     return handed_over(src, "sample", build)
 
 
+@query
+def equalised_sample(src):
+    """Both stratified samples, thinned to one size and merged."""
+
+    def drawn(role):
+        classed = stage(_classed(src, role), "classed")
+        return stage(sampling.stratified(classed, sampling.fractions(sampling.class_sizes(classed))).select(*v.DOCUMENT_COLUMNS), "drawn")
+
+    return sampling.union_distinct(*sampling.equalise(drawn(v.ISSUER), drawn(v.RECEIVER)))
+
+
 @query
 def balanced_sample(src):
     return steadied(_sample(src), STATS)
@@ -339,6 +367,13 @@ def enriched_invoices(src):
     return steadied(full.select(*v.ENRICHED_FULL), STATS)
 
 
+@query
+def enriched_invoices_by_parties(src):
+    """The same from statistics and profiles that are joined one after the other."""
+    featured = stage(documents.featured(recent_invoices(src, days=14)), "featured")
+    return steadied(enrich.enriched_full(featured, profile(src)), STATS)
+
+
 @query
 def enriched_invoices_all_dates(src):
     return steadied(enriched(src), STATS)
@@ -721,6 +756,47 @@ def label_leaf_distribution(src):
     return steadied(surrogate.leaf_distribution(weighted, "label"), ["share_outlier", "share_normal"], 9)
 
 
+# the tree itself on labels that SQL has too, so that SQL can grow it as well
+
+
+def _tree(src):
+    """Tree that tells invoices above the 90th percentile from everything but money, and its predictions."""
+
+    def build():
+        encoded, encoder = _encoded(src)
+        limit = qt.quantiles(encoded, v.AMOUNT, {"p": 0.9}).select("p").scalar()
+        label = F.when(F.col(v.AMOUNT) > limit, -1).otherwise(1).alias("outliers")
+        rows = stage(prep.entries(encoded, encoder, plain=TREE_PLAIN).select("features", label), "labelled")
+        model = surrogate.fit(rows, lambda slots: prep.names_of(encoder, slots, TREE_PLAIN), depth=TREE_DEPTH)
+        return model, stage(surrogate.predict(rows, model).drop("features"), "predicted")
+
+    return handed_over(src, "tree", build)
+
+
+@query
+def tree_node_table(src):
+    nodes = surrogate.node_table(_tree(src)[0], src["documents"])
+    return steadied(nodes.withColumns({c: F.col(c).cast("double") for c in ("slot", "leaf")}), ["threshold", "decrease"], 4)
+
+
+@query
+def tree_leaf_counts(src):
+    predicted = _tree(src)[1].groupBy("leaf", "outliers", "predicted", "outlier_probability").agg(F.count("*").alias("rows"))
+    return steadied(predicted, ["outlier_probability"], 9)
+
+
+@query
+def tree_rule_table(src):
+    return steadied(surrogate.rules(_tree(src)[0], src["documents"]), ["share_outlier", "share_normal"], 9)
+
+
+@query
+def tree_best_leaf_path(src):
+    model, predicted = _tree(src)
+    best = surrogate.best_leaf(surrogate.leaf_quality(predicted)).first()["leaf"]
+    return surrogate.path(surrogate.rules(model, src["documents"]), best)
+
+
 # -- monitoring --------------------------------------------------------------
 
 WINDOW = tuple(f"2024-01-{day} 00:00:00" for day in ("03", "17"))

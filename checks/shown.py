@@ -12,7 +12,7 @@ _INVOICE_QUERIES = (
     "invoice_scan", "invoices_last_3_months", "invoices_last_14_days", "invoices_with_party_statistics",
     "invoice_time_features", "featured_invoices_last_3_months", "featured_invoices_last_14_days",
     "issuer_stratified_sample", "receiver_stratified_sample", "test_rows_of_split", "cession_link",
-    "times_ceded", "ledger_match", "invoices_within_fences",
+    "times_ceded", "ledger_match", "invoices_within_fences", "invoices_last_14_days_by_month", "equalised_sample",
 )
 DATES = {
     **{name: [v.EMITTED] for name in _INVOICE_QUERIES},
@@ -30,7 +30,8 @@ _ENRICHED = [
 ]
 DOUBLES = {
     "current_segment": ["ES_PERSONA"], "segment_kind_counts": ["ES_PERSONA"],
-    "profile_all_rows": _PROFILE, "taxpayer_profile": _PROFILE,
+    "profile_all_rows": _PROFILE, "taxpayer_profile": _PROFILE, "unambiguous_profile": _PROFILE,
     "enriched_sample": _ENRICHED, "enriched_invoices": _ENRICHED,
+    "enriched_invoices_by_parties": _ENRICHED,
     "enriched_invoices_all_dates": _ENRICHED, "cession_link": ["rdoc_folio", "rdoc_codigo"],
 }

@@ -177,9 +177,8 @@ def feature_names(encoder: Encoder) -> list[str]:
     return [*v.NUMERIC, *v.PASS_THROUGH, *encoder.names]
 
 
-def names_of(encoder: Encoder, slots: Sequence[int]) -> dict[int, str]:
+def names_of(encoder: Encoder, slots: Sequence[int], plain: Sequence[str] = (*v.NUMERIC, *v.PASS_THROUGH)) -> dict[int, str]:
     """Names of some slots of the assembled vector."""
-    plain = [*v.NUMERIC, *v.PASS_THROUGH]
     found = encoder.names_of([slot - len(plain) for slot in slots])
     return {slot: plain[slot] if slot < len(plain) else found[slot - len(plain)] for slot in slots}
 
@@ -203,13 +202,14 @@ def assemble(encoded: DataFrame, encoder: Encoder, output: str = "features") ->
     return vector.drop(*onehot)
 
 
-def entries(encoded: DataFrame, encoder: Encoder, output: str = "features") -> DataFrame:
+def entries(
+    encoded: DataFrame, encoder: Encoder, output: str = "features", plain: Sequence[str] = (*v.NUMERIC, *v.PASS_THROUGH)
+) -> DataFrame:
     """The assembled vector as a struct of its parts, without attributes, for any number of levels.
 
     It has the fields of a sparse vector: ``type`` 0, ``size``, ``indices`` and ``values``, of which some may be 0: all
     plain columns, and the slot of the level of each encoded one.
     """
-    plain = [*v.NUMERIC, *v.PASS_THROUGH]
     indices = [F.lit(i) for i in range(len(plain))]
     values = [F.coalesce(F.col(name).cast("double"), F.lit(0.0)) for name in plain]
     first = len(plain)
