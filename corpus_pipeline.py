@@ -14,8 +14,14 @@ from lupa.llm.queries import BYTES
 from lupa.session import stage
 
 
+def _bounded(spark: SparkSession) -> None:
+    """Fewer texts in the batches that tasks and their workers hold at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
+    _bounded(spark)
     return quality.accepted(docs)
 
 
@@ -30,16 +36,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that with the lowest id."""
+    _bounded(spark)
     return near_dups.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
+    _bounded(spark)
     return leaks.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number and digest of the ids of each document, and digest of the text decoded from them."""
+    _bounded(spark)
     found = long_bpe.encode_decode(docs, BYTES)
     return found.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
