@@ -7,8 +7,10 @@ hash; equal words always have equal hashes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -167,3 +169,19 @@ def text_batches(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20)
         to = max(at + 1, int(np.searchsorted(total, base + most_bytes, "right")))
         yield batch.slice(at, to - at)
         at = to
+    give_back()
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: workers live on for the tasks of later stages, and what
+    their allocators keep would add up."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
