@@ -22,8 +22,11 @@ components of the links.
 5. Every comparison is exact, on whole texts.
 
 Null and empty texts have no words: each is a class and group of its own. Texts of one to four words
-are one run. Rows that share an id are one document. A document without id takes a number below
-``-2**62`` made from its text.
+are one run. Rows of one id with different texts are documents of their own, which are compared as any others. A
+document without id takes a number below ``-2**62`` made from its text. One row of each group stays, also where rows agree in
+id and text: that of the lowest id, then of the lowest text hash. Ties cannot change groups: links and components do
+not depend on any order. Very long texts are compared whole; a task holds one at a time beside its slice. An empty
+table gives empty results. Columns of any name may come along with ``deduplicated`` and are left as they are.
 """
 
 from __future__ import annotations
@@ -47,7 +50,6 @@ DAMPING = 0.25
 BLOCK = 256
 
 _SLICE = 1 << 20
-_MARK, _GONE = "_near_dups_key", "_near_dups_gone"
 _DEFAULTS = {"k": SHINGLE, "similarity": SIMILARITY, "bands": BANDS, "rows": ROWS}
 _COLUMNS = 4096
 _SIZED = 1e-9
@@ -183,8 +185,9 @@ def _signatures(k: int, bands: int, rows: int, weights):
         lists = pa.FixedSizeListArray.from_arrays(pa.array(bucket.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))
         lists = pa.compute.if_else(pa.array(total > 0), lists, pa.scalar(None, lists.type))
         return pa.RecordBatch.from_arrays(
-            [batch.column("_id"), batch.column("_key"), pa.array(one.view(np.int64)), pa.array(other.view(np.int64)), pa.array(total), lists],
-            ["_id", "_key", "_one", "_other", "_weight", "_buckets"],
+            [batch.column("_id"), batch.column("_key"), batch.column("_code"), pa.array(one.view(np.int64)), pa.array(other.view(np.int64)),
+             pa.array(total), lists],
+            ["_id", "_key", "_code", "_one", "_other", "_weight", "_buckets"],
         )
 
     return run
@@ -320,12 +323,8 @@ def groups(documents: DataFrame, id: str = "doc_id", text: str = "text", k: int
            similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: ``id``, ``class_id`` (lowest id with the same words), ``group_id``
     (lowest id of the group) and ``stays`` (whether it is the one of its group that stays)."""
-    members, _, labels = linked(documents, id, text, k, similarity, bands, rows)
-    found = members.join(labels, F.col("class_id") == F.col("node"), "left")
-    group = F.coalesce("label", "class_id")
-    return found.select(
-        F.col("_id").alias(id), "class_id", group.alias("group_id"), (F.col("_key") == group).alias("stays")
-    )
+    members, _, _ = linked(documents, id, text, k, similarity, bands, rows)
+    return members.select(F.col("_id").alias(id), "class_id", "group_id", (F.col("_row") == F.col("_head._row")).alias("stays"))
 
 
 def _key(id: str, text: str):
@@ -334,39 +333,38 @@ def _key(id: str, text: str):
 
 
 def linked(documents: DataFrame, id: str, text: str, k: int, similarity: float, bands: int, rows: int):
-    """Members of classes, links between classes with their similarity, and labels of linked classes."""
+    """Members with their class and group, links between classes, and labels of linked classes.
+
+    Classes are numbered as they are stored; ``_head`` of a member is the row of its group that stays.
+    """
     spark = documents.sparkSession
-    docs = documents.select(F.col(id).cast("long").alias("_id"), _key(id, text).alias("_key"), F.col(text).alias("_text"))
+    docs = documents.select(
+        F.col(id).cast("long").alias("_id"), _key(id, text).alias("_key"), F.xxhash64(text).alias("_code"), F.col(text).alias("_text")
+    )
     weights = spark.sparkContext.broadcast(inverse_frequencies(docs, k))
     drawn = stage(
         docs.mapInArrow(
             _signatures(k, bands, rows, weights),
-            "_id long, _key long, _one long, _other long, _weight double, _buckets array<long>",
-        ),
+            "_id long, _key long, _code long, _one long, _other long, _weight double, _buckets array<long>",
+        ).withColumn("_row", F.monotonically_increasing_id()),
         "signatures",
     )
     wordless = F.col("_buckets").isNull()
+    own = F.struct("_key", "_code", "_row")
     classes = stage(
-        drawn.filter(~wordless).groupBy("_one", "_other")
-        .agg(F.min("_key").alias("class_id"), F.first("_weight").alias("_weight"), F.first("_buckets").alias("_buckets")),
+        drawn.filter(~wordless).groupBy("_one", "_other").agg(
+            F.min("_key").alias("class_id"), F.min(own).alias("_first"), F.count("*").alias("_n"), F.first("_weight").alias("_weight"),
+            F.first("_buckets").alias("_buckets"),
+        ).withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
-    members = drawn.filter(~wordless).select("_id", "_key", "_one", "_other").join(
-        classes.select("_one", "_other", "class_id"), ["_one", "_other"]
-    ).select("_id", "_key", "class_id").union(drawn.filter(wordless).select("_id", "_key", F.col("_key").alias("class_id")))
 
-    met = classes.select(F.col("class_id").alias("node"), "_weight", F.explode("_buckets").alias("bucket"))
+    met = classes.select("node", "_weight", F.explode("_buckets").alias("bucket"))
     shared = met.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     met = stage(met.join(shared.select("bucket"), "bucket"), "buckets")
     # the texts that are compared: one of each class that meets another
-    wanted = drawn.filter(~wordless).select("_key", "_one", "_other").join(
-        classes.select("_one", "_other", "class_id"), ["_one", "_other"]
-    ).filter("_key = class_id").join(met.select(F.col("node").alias("class_id")).distinct(), "class_id")
-    texts = stage(
-        docs.join(wanted.select("_key", F.col("class_id").alias("node")), "_key")
-        .groupBy("node").agg(F.min("_text").alias("_text")),
-        "texts",
-    )
+    wanted = classes.join(met.select("node").distinct(), "node").select("node", "_first._key", "_first._code")
+    texts = stage(docs.join(wanted, ["_key", "_code"]).groupBy("node").agg(F.min("_text").alias("_text")), "texts")
 
     def compared(pairs: DataFrame) -> DataFrame:
         close = F.least("_wa", "_wb") >= F.lit(similarity * (1 - 1e-6)) * F.greatest("_wa", "_wb")
@@ -397,7 +395,27 @@ def linked(documents: DataFrame, id: str, text: str, k: int, similarity: float,
         "links",
     )
     links = links.select("_a", "_b").union(more).distinct()
-    return members, links, merged(labels, more)
+    labels = merged(labels, more)
+    heads = classes.join(labels, "node").groupBy("label").agg(F.min("class_id").alias("_lowest"), F.min("_first").alias("_foremost"))
+    groups_ = labels.join(heads, "label").select("node", "_lowest", "_foremost")
+    whole = classes.join(groups_, "node", "left").select(
+        "_one", "_other", "_n", "class_id", F.coalesce("_lowest", "class_id").alias("group_id"), F.coalesce("_foremost", "_first").alias("_head")
+    )
+    row = ["_id", "_key", "_code", "_row"]
+    members = drawn.filter(~wordless).select(*row, "_one", "_other").join(whole, ["_one", "_other"]).select(
+        *row, "_n", "class_id", "group_id", "_head"
+    ).union(_wordless(drawn.filter(wordless).select(*row)))
+    return members, links, labels
+
+
+def _wordless(rows: DataFrame) -> DataFrame:
+    """Rows without words as members: rows that agree in id and text are one class, all others are alone."""
+    own = F.struct("_key", "_code", "_row")
+    classes = rows.groupBy(F.col("_key").alias("_k"), F.col("_code").alias("_c")).agg(F.min(own).alias("_head"), F.count("*").alias("_n"))
+    same = (F.col("_key") == F.col("_k")) & (F.col("_code") == F.col("_c"))
+    return rows.join(classes, same).select(
+        "_id", "_key", "_code", "_row", "_n", F.col("_key").alias("class_id"), F.col("_key").alias("group_id"), "_head"
+    )
 
 
 def _unjoined(buckets: DataFrame, pivots: DataFrame, labels: DataFrame) -> DataFrame:
@@ -409,10 +427,17 @@ def _unjoined(buckets: DataFrame, pivots: DataFrame, labels: DataFrame) -> DataF
 
 
 def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The documents that stay, with all their columns: one of each group."""
-    members, _, labels = linked(documents, id, text, **{**_DEFAULTS, **settings})
-    gone = (
-        members.join(labels, F.col("class_id") == F.col("node"), "left")
-        .filter(F.col("_key") != F.coalesce("label", "class_id")).select(F.col("_key").alias(_GONE)).distinct()
-    )
-    return documents.withColumn(_MARK, _key(id, text)).join(gone, F.col(_MARK) == F.col(_GONE), "left_anti").drop(_MARK)
+    """The documents that stay, with all their columns: one row of each group."""
+    members, _, _ = linked(documents, id, text, **{**_DEFAULTS, **settings})
+    key, code = (W.free_name(documents.columns, name) for name in ("_near_key", "_near_code"))
+    stays = (F.col("_key") == F.col("_head._key")) & (F.col("_code") == F.col("_head._code"))
+    pair = [F.col("_key").alias(key), F.col("_code").alias(code)]
+    gone = members.filter(~stays).select(*pair).distinct()
+    # rows that agree in id and text are the same pair
+    again = stage(members.filter(stays & (F.col("_n") > 1)).groupBy(*pair).count().filter("count > 1").drop("count"), "again")
+    marked = documents.withColumns({key: _key(id, text), code: F.xxhash64(text)})
+    left = marked.join(gone, [key, code], "left_anti")
+    if again.limit(1).count():
+        one = left.join(again, [key, code], "left_semi").dropDuplicates([key, code])
+        left = left.join(again, [key, code], "left_anti").unionByName(one)
+    return left.select(*documents.columns)

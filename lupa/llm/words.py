@@ -8,7 +8,7 @@ hash; equal words always have equal hashes.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -160,6 +160,14 @@ def whole_windows(words: Words, k: int) -> np.ndarray:
     return np.flatnonzero(np.arange(n) + k <= last)
 
 
+def free_name(columns: Sequence[str], name: str) -> str:
+    """A column name that the columns do not have."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_batches(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with at most ``most_bytes`` of text, or one row."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

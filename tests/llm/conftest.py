@@ -6,7 +6,8 @@ DOCUMENT = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
 ])
 
-CLASHES = ("_id", "_key", "_text", "_host", "_dropped", "label", "node", "bucket", "group_id", "kept", "ids", "tree", "_anchor")
+CLASHES = ("_id", "_key", "_text", "_host", "_dropped", "label", "node", "bucket", "group_id", "kept", "ids", "tree", "_anchor",
+           "_kept", "_boilerplate", "_boilerplate_host", "n_lines", "_near_key", "_near_code", "_known", "_name", "_other", "_code", "_row", "_head")
 
 
 @pytest.fixture

@@ -103,6 +103,22 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert near_dups.groups(none).count() == near_dups.deduplicated(none).count() == 0
 
 
+def test_ids_do_not_decide_what_is_compared(make_docs):
+    """One id with two texts, each near another document, and rows without id that are copies."""
+    a, b, c = prose(21, 90).split(), prose(22, 90).split(), prose(23, 90)
+    near_a, near_b = " ".join(["x", *a[1:]]), " ".join(["y", *b[1:]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near_a), (3, near_b)] + [(None, c)] * 5 + [(7, c)] + [(None, "")] * 3 + [(8, ""), (9, "")]
+    docs = make_docs(rows, clashing=True)
+    found = [(r.doc_id, r.class_id, r.group_id, r.stays) for r in near_dups.groups(docs).collect()]
+    assert sorted(x[:3] for x in found if x[0] in (1, 2, 3)) == [(1, 1, 1), (1, 1, 1), (2, 2, 1), (3, 3, 1)]
+    assert sum(x[3] for x in found if x[2] == 1) == 2  # two groups, both of lowest id 1
+    copies = [x for x in found if x[0] in (None, 7) and x[2] < 0 and x[1] == min(y[1] for y in found)]
+    assert sum(x[3] for x in found) == near_dups.deduplicated(docs).count() == 2 + 1 + 3
+    kept = sorted(((r.doc_id, r.text) for r in near_dups.deduplicated(docs).collect()), key=repr)
+    assert kept == sorted([(1, " ".join(a)), (1, " ".join(b)), (None, c), (None, ""), (8, ""), (9, "")], key=repr)
+    assert copies
+
+
 # -- 2 and 3 --------------------------------------------------------------------
 
 
@@ -306,6 +322,16 @@ def test_line_dedup(odd, none, documents, make_docs):
         assert sorted(map(repr, found)) == sorted(map(repr, expected))
 
 
+def test_boilerplate_of_many_hosts(documents, odd, monkeypatch):
+    """Joined by host where the lines are too many to be sent to all tasks."""
+    for docs in (odd, documents):
+        few = lines.without_boilerplate(docs, "source", "text", 0.2, 2)
+        with monkeypatch.context() as patch:
+            patch.setattr(lines, "MOST_SENT", -1)
+            many = lines.without_boilerplate(docs, "source", "text", 0.2, 2)
+        assert many.columns == few.columns and sorted(map(key, many.collect())) == sorted(map(key, few.collect()))
+
+
 def test_copies_keep_one_text_in_the_pipeline(spark, make_docs, odd, none):
     """Five copies in a source of 40 pages; the menu is in 30 other pages."""
     clean = prose(50, 60) + "\n" + prose(51, 60)
