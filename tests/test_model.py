@@ -222,6 +222,80 @@ def test_surrogate_learns(tree):
     assert report["-1"]["recall"] > 0.9 and report["accuracy"]["accuracy"] > 0.95
 
 
+def plain_split(x, outlier, weights, min_leaf):
+    """The best split of all distinct values of all columns."""
+    best = None
+    for slot in range(x.shape[1]):
+        for low, high in zip(np.unique(x[:, slot])[:-1], np.unique(x[:, slot])[1:]):
+            left = x[:, slot] <= low
+            if min(left.sum(), (~left).sum()) < min_leaf:
+                continue
+            gini = lambda rows: 2 * (a := outlier[rows].sum() * weights[0]) * (b := (~outlier[rows]).sum() * weights[1]) / (a + b)
+            whole = gini(np.ones(len(x), bool)) - gini(left) - gini(~left)
+            if best is None or whole > best[0] + 1e-9:
+                best = (whole, slot, (low + high) / 2)
+    return best
+
+
+def test_first_split_is_the_best_of_all(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(12)
+    x = np.stack([rng.integers(0, 3, 600), rng.lognormal(9, 2, 600), rng.integers(0, 2, 600) * rng.normal(size=600), -rng.random(600)], 1)
+    outlier = (x[:, 1] > 12_345) & (x[:, 0] > 0) | (rng.random(600) < 0.05)
+    frame = pd.DataFrame(x, columns=list("abcd")).assign(outliers=np.where(outlier, -1, 1))
+    rows = VectorAssembler(inputCols=list("abcd"), outputCol="features").transform(spark.createDataFrame(frame))
+    model = surrogate.fit(rows, list("abcd"), depth=4)
+    weights = 300 / outlier.sum(), 300 / (~outlier).sum()
+    decrease, slot, threshold = plain_split(x, outlier, weights, 5)
+    root = model.nodes[0]
+    assert root.slot == slot and root.decrease == pytest.approx(decrease) and root.threshold == pytest.approx(threshold)
+    again = surrogate.fit(rows.repartition(7), list("abcd"), depth=4)
+    assert again.nodes == model.nodes and again.names == model.names
+    table = surrogate.node_table(model, rows).toPandas()
+    assert table["leaf"].notna().sum() == len(model.leaves) and (table.loc[table["leaf"].notna(), ["outlier_rows", "normal_rows"]].to_numpy().sum() == 600)
+
+
+def test_a_tree_of_one_class_or_no_rows_is_a_leaf(tree):
+    rows, _ = tree
+    for df in (rows.where("outliers = 1"), rows.where("false")):
+        model = surrogate.fit(df, ["p", "q"])
+        assert model.leaves == {0: 0} and surrogate.predict(rows, model).where("leaf = 0 AND predicted = 1").count() == 2000
+
+
+def test_many_levels_are_ranked_and_joined(spark, monkeypatch):
+    """Ranks of levels over several ranges, and both ways to join them."""
+    df = spark.range(5000).select(
+        F.concat(F.lit("é"), F.col("id").cast("string")).alias("many"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("few"),
+        F.lit("one").alias("single"),
+    ).repartition(9)
+    encoder = prep.fit_encoder(df, ["many", "few", "single"])
+    assert encoder.sizes == {"many": 5000, "few": 8}
+    wanted = sorted((f"é{i}" for i in range(5000)), reverse=True)
+    assert encoder.labels["many"] == wanted and encoder.labels["few"] == ["hot", *"6543210"]
+    assert encoder.names_of([0, 4998, 4999, 5005]) == {0: f"many_{wanted[0]}", 4998: f"many_{wanted[4998]}", 4999: "few_hot", 5005: "few_1"}
+    fresh = df.unionByName(spark.createDataFrame([("new", None, "one")], "many string, few string, single string"))
+    one = {r["many"]: (r["many_index"], r["few_index"]) for r in encoder.transform(fresh).collect()}
+    assert one["new"] == (4999.0, 7.0) and one["é999"][0] == 0.0 and len(one) == 5001
+    monkeypatch.setattr(prep, "MOST_SENT", 0)
+    assert {r["many"]: (r["many_index"], r["few_index"]) for r in encoder.transform(fresh).collect()} == one
+
+
+def test_features_of_both_forms_are_equal(spark):
+    df = prep.imputed(model_rows(spark))
+    encoder = prep.fit_encoder(df)
+    encoded = encoder.transform(df)
+    vectors = {r["dhdr_folio"]: r["features"].toArray() for r in prep.assemble(encoded, encoder).collect()}
+    for r in prep.entries(encoded, encoder).collect():
+        dense = np.zeros(r["features"]["size"])
+        for i, x in zip(r["features"]["indices"], r["features"]["values"]):
+            if x:
+                dense[i] = x
+        assert (dense == vectors[r["dhdr_folio"]]).all()
+    names = prep.feature_names(encoder)
+    assert prep.names_of(encoder, range(len(names))) == dict(enumerate(names))
+
+
 def test_report_by_hand(spark):
     df = spark.createDataFrame([(1, 1)] * 6 + [(1, -1)] * 2 + [(-1, -1)] * 1 + [(-1, 1)] * 1 + [(2, 1)], "y int, p int")
     got = {r["name"]: r for r in evaluate.report(df, "y", "p").collect()}

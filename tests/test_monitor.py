@@ -38,3 +38,10 @@ def test_ids_are_unique(spark, rows, monkeypatch):
     again = monitor.predict(scored.repartition(5), "r1", at("2024-01-01 10:00:00"), ["k"])
     assert first.count() == first.select("uuid").distinct().count() == scored.count()
     assert rows(first) == rows(again) and rows(first, "k", "prediction") == rows(scored)
+
+
+def test_different_keys_have_different_ids(spark):
+    rows = [("a:b", "c"), ("a", "b:c"), (None, "x"), ("", "x"), ("x", None), ("1:a", ""), ("1", ":a")]
+    scored = spark.createDataFrame([(*r, 0.5) for r in rows], "k string, l string, score double")
+    found = monitor.predict(scored, "r1", at("2024-01-01 10:00:00"), ["k", "l"])
+    assert found.select("uuid").distinct().count() == len(rows)

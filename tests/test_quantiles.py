@@ -87,3 +87,19 @@ def test_nan_is_left_out(spark):
     for accuracy in (None, 1000):
         row = qt.quantiles(df, "a", {"m": 0.5}, accuracy=accuracy).first()
         assert (row["m"], row["rows"]) == (2.0, 3)
+
+
+def test_more_groups_than_are_sent(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame({"k": np.where(rng.random(4000) < 0.4, 0, rng.integers(0, 300, 4000)), "x": rng.lognormal(8, 2, 4000)})
+    df = spark.createDataFrame(frame)
+    sent = qt.box_summary(df, "x", ["k"]).orderBy("k").collect()
+    monkeypatch.setattr(qt, "MOST_SENT", 10)
+    assert qt.box_summary(df, "x", ["k"]).orderBy("k").collect() == sent and len(sent) == frame["k"].nunique()
+
+
+def test_infinite_values_have_ranks(spark):
+    df = spark.createDataFrame([(x,) for x in (float("-inf"), -1e308, 0.0, -0.0, 5e-324, 1e308, float("inf"), float("inf"))], "x double")
+    row = qt.quantiles(df, "x", {"low": 0.0, "high": 1.0, "zero": 2 / 7, "small": 4 / 7}).first()
+    assert (row["low"], row["high"], row["zero"], row["rows"]) == (float("-inf"), float("inf"), 0.0, 8)
+    assert row["small"] == pytest.approx(5e-324)
