@@ -9,7 +9,8 @@ region become empty, and the sums above them are updated. So the shape of a tree
 
 Null and empty texts have one empty leaf. Edits are (start, end, text) in characters, in any order;
 an edit that overlaps an earlier one is an error. Edits with a null start or end are left out, a null
-text deletes. Edits of unknown documents change nothing.
+text deletes. Edits of unknown documents change nothing. Very long texts are trees of more leaves. An empty
+table gives an empty one. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ changes the ids near the cut, so neighbours are joined pair by pair up to the wh
   the encoding of its bytes if each two neighbours are the encoding of theirs, so the join is exact.
 
 Special tokens are cut out first and never lie in a window. Null and empty texts have no ids.
-Repeated rows give repeated results.
+Repeated rows give repeated results. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -1,11 +1,14 @@
 """Quality rules as a cascade that stops at the first rejection.
 
-Each rule measures a batch of texts and rejects some. On a sample of at most ``SAMPLE`` documents every
+Each rule measures a batch of texts and rejects some. On a sample of about ``SAMPLE`` documents every
 rule is timed and its share of rejections counted; the rules then run in descending order of
 rejections per second, and each only sees the texts that passed those before it. The order changes the
 work, never the verdict: a document stays if no rule rejects it.
 
-Words are runs without blanks (space, tab to carriage return). Null texts have no words.
+Words are runs without blanks (space, tab to carriage return). Null and empty texts have no words and are
+rejected for it. A verdict depends on the text alone, so repeated rows get the same and ties of rules change nothing.
+Very long texts are measured whole, in a slice of their own. Empty tables give empty results. Other columns,
+whatever their names, stay in ``accepted`` and are not read by ``judged``.
 """
 
 from __future__ import annotations

@@ -13,6 +13,9 @@ File layout (little-endian)::
 The footer lists offset, size, first document, documents and tokens of each block. The frequency
 table is the Parquet dataset ``table`` beside the files, the list of files is the dataset
 ``manifest``. Only files in the manifest count: a task that is run again leaves an unlisted file.
+
+A very long text is encoded whole and stays in one block. An empty table gives an empty manifest. Other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ rows, those with the lowest hash of their id. Scoring is a pass over all documen
 weights that all tasks get have a fixed size of ``4 * BUCKETS`` bytes for each category.
 
 Null and empty texts have no features and get the score of the intercept. Labels of one id are folded
-to the highest; null labels are left out.
+to the highest; null labels are left out. Rows that repeat an id are scored each by their own text, and all of them
+train with its labels. Buckets that tie are taken by number. Very long texts are hashed whole. Without any labels
+every probability is one half. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations

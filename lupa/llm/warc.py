@@ -10,7 +10,8 @@ Of records with equal payloads of at least ``REVISIT`` bytes, that with the larg
 payload and the others are revisits that name it; these carry no payload. Smaller payloads are always
 held. A null payload is empty. Records of equal id and payload all hold it. A record without id is
 never named by others unless none of its copies has an id. Bundles count once they are in the index: a
-task that is run again leaves an unlisted file.
+task that is run again leaves an unlisted file. A very long payload fills a frame of its own. An empty table gives an
+empty index. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
