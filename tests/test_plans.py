@@ -121,6 +121,10 @@ def test_no_python_and_no_cartesian_product_outside_the_model(spark, source):
             assert banned not in text, f"{banned} in {name}"
 
 
+def test_methods_too_large_to_compile_are_not_generated(spark):
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
 def test_one_row_per_key_is_cut_before_the_shuffle(source):
     from lupa.operators import taxpayers
 
