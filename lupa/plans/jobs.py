@@ -84,7 +84,7 @@ def recent_job(source: Mapping[str, DataFrame], store: Store, days: int = 14) ->
     """
     window = session.stage(recent_invoices(source, days=days), "window")
     timed = documents.with_time_features(window)
-    whole = session.stage(enrich.parties_with_statistics(timed, store.read(PROFILE)), "recent")
+    whole = session.stage(enrich.parties_with_statistics(timed, store.read(PROFILE), v.ENRICHED_PROFILE), "recent")
     store.write(whole.select(*v.ENRICHED_FULL), ENRICHED)
     stats = [name for role in (v.ISSUER, v.RECEIVER) for name in v.stat_columns(role)]
     return store.write(whole.select(*timed.columns, *stats), RECENT)

@@ -121,6 +121,15 @@ def test_no_python_and_no_cartesian_product_outside_the_model(spark, source):
             assert banned not in text, f"{banned} in {name}"
 
 
+def test_a_party_travels_as_one_struct(spark, source):
+    from lupa.operators import enrich, taxpayers
+
+    profile = session.stage(taxpayers.profile(source), "profile")
+    joined = enrich.parties_with_statistics(tables.invoices(source["documents"]), profile, v.ENRICHED_PROFILE)
+    assert set(v.ENRICHED_FULL) - set(v.TIME_COLUMNS) <= set(joined.columns)
+    assert plan(joined).count("struct(statistics, ") == 2
+
+
 def test_methods_too_large_to_compile_are_not_generated(spark):
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
 
