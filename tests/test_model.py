@@ -305,3 +305,11 @@ def test_report_by_hand(spark):
     assert got["accuracy"]["accuracy"] == pytest.approx(7 / 11) and got["accuracy"]["precision"] is None
     assert got["macro avg"]["recall"] == pytest.approx((0.75 + 0.5 + 0) / 3)
     assert got["weighted avg"]["recall"] == pytest.approx((0.75 * 8 + 0.5 * 2) / 11)
+
+
+def test_split_between_neighbouring_doubles_leaves_rows_on_both_sides():
+    """A draw between a double and the next one may be rounded to the higher."""
+    x = np.array([[1.0, np.nextafter(1.0, 2.0), 1.0, 1.0]])
+    for seed in range(20):
+        nodes = iforest._grow(0, x, 8, np.random.default_rng(seed))
+        assert nodes["size"].min() > 0 and nodes.loc[nodes["feature"] < 0, "size"].sum() == 4
