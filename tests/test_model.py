@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,3 +314,24 @@ def test_split_between_neighbouring_doubles_leaves_rows_on_both_sides():
     for seed in range(20):
         nodes = iforest._grow(0, x, 8, np.random.default_rng(seed))
         assert nodes["size"].min() > 0 and nodes.loc[nodes["feature"] < 0, "size"].sum() == 4
+
+
+def test_counts_of_a_task_are_given_out_once_for_each_key(monkeypatch):
+    def batch(values, outliers):
+        rows = [{"indices": list(range(len(r))), "values": r} for r in values]
+        return pa.RecordBatch.from_pydict({"features": rows, "is_outlier": outliers})
+
+    batches = [batch([[3.0, 1.0, 0.0], [3.0, 0.0, 1.0]], [True, False]), batch([[3.0, 1.0, 1.0], [9.5, 1.0, 0.0]], [False, False])]
+    nodes = {0: surrogate.Node(0, 1, 3)}
+    total = lambda found: sorted(
+        (slot, bin_, sum(o), sum(n), min(low), max(high))
+        for (slot, bin_), g in pd.concat([b.to_pandas() for b in found]).groupby(["slot", "bin"])
+        for o, n, low, high in [(g.outliers, g.normal, g.lowest, g.highest)]
+    )
+    whole = list(surrogate._counted(nodes, [0])(iter(surrogate._held(iter(batches)))))
+    keys = [key for b in whole for key in zip(b["slot"].to_pylist(), b["bin"].to_pylist(), strict=True)]
+    assert len(keys) == len(set(keys)) == 4
+    counts = [(slot, o, n, low, high) for slot, _, o, n, low, high in total(whole)]
+    assert counts == [(0, 1, 2, 3.0, 3.0), (0, 0, 1, 9.5, 9.5), (1, 1, 2, 1.0, 1.0), (2, 0, 2, 1.0, 1.0)]
+    monkeypatch.setattr(surrogate, "GATHERED", 2)
+    assert total(surrogate._counted(nodes, [0])(iter(batches))) == total(whole)
