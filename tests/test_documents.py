@@ -78,6 +78,20 @@ def test_fused_enrichment_equals_the_two_steps(source, rows):
     assert rows(rounded(enrich.parties_with_statistics(docs, profile))) == rows(rounded(two))
 
 
+def test_documents_move_once_if_a_role_has_few_parties(source, rows, monkeypatch):
+    """The other role is joined first, so that no party's columns travel with the documents."""
+    docs = tables.invoices(source["documents"])
+    profile = t.profile(source).cache()
+    spread, join = [], enrich.spread_left_join
+    monkeypatch.setattr(enrich, "spread_left_join", lambda left, *a, **k: spread.append(left.columns) or join(left, *a, **k))
+    rounded = lambda df: df.select(*(F.round(c, 6).alias(c) if c.startswith(("avg", "std")) else c for c in df.columns))
+    sent = rows(rounded(enrich.parties_with_statistics(docs, profile)))
+    assert spread == [docs.columns]
+    monkeypatch.setattr(enrich, "MOST_SENT", 0)
+    assert rows(rounded(enrich.parties_with_statistics(docs, profile))) == sent
+    assert len(spread) == 3
+
+
 def test_enriched_column_sets(source):
     assert len(v.ENRICHED_SAMPLE) == 53 and len(v.ENRICHED_FULL) == 57
     assert len(v.NUMERIC) == 20 and len(v.CATEGORIES) == 28 and len(v.MODEL_ALERTS) == 20
