@@ -134,6 +134,29 @@ def test_methods_too_large_to_compile_are_not_generated(spark):
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
 
 
+def test_joins_of_more_than_a_hundred_fields_are_compiled(spark):
+    """As of scored invoices: beyond ``maxFields``, Spark would not compile an operator at all."""
+    wide = spark.range(5).select("id", *(F.lit(i).alias(f"c{i}") for i in range(130)))
+    found = wide.join(F.broadcast(spark.range(5).withColumnRenamed("id", "other")), F.col("id") == F.col("other"), "left")
+    found.collect()
+    assert re.search(r"\*\(\d+\) BroadcastHashJoin", plan(found))
+
+
+def test_tracking_and_totals_store_key_and_score_only(spark, monkeypatch):
+    from checks import queries
+    from checks.fixtures import Source
+    from conftest import SF
+
+    seen, stage = {}, queries.stage
+    monkeypatch.setattr(queries, "stage", lambda df, name, *a: seen.setdefault(name, df.columns) and stage(df, name, *a))
+    small = Source(spark, f"{SF}/")  # a directory of its own, so that no other test has handed anything over
+    tracked, total = QUERIES["tracked_scores"](small), QUERIES["outlier_total"](small).first()
+    assert set(seen["scored"]) == {*queries.MODEL_KEY, "score"}
+    labels = QUERIES["outlier_labels"](small)
+    assert tracked.count() == labels.count() == total["rows"]
+    assert labels.where("outliers = -1").count() == total["outliers"] > 0
+
+
 def test_one_row_per_key_is_cut_before_the_shuffle(source):
     from lupa.operators import taxpayers
 
